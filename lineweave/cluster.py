@@ -1,12 +1,13 @@
-"""Sends this package to the executors, for sessions that were not started with --py-files."""
+"""What a job needs of the cluster: this package on the executors, and tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
@@ -23,3 +24,19 @@ def send_package(spark: SparkSession) -> None:
             out.write(source, source.relative_to(root.parent))
     context.addPyFile(str(archive))
     _sent.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one only where the cluster names none, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back, so that later rounds do not repeat earlier ones."""
+    path = f"{shared_dir(df.sparkSession)}/lineweave-{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,0 +1,113 @@
+import difflib
+import io
+import zipfile
+
+import pytest
+
+from lineweave.operators import fuzzy, keys, reports, rounds, structure
+from lineweave.sources import workbook
+
+
+def sides(spark, base, source):
+    """base: texts; source: (text, translation)."""
+    b = spark.createDataFrame([(i, "b", "s", i, t, t, t) for i, t in enumerate(base, 1)], "baseline_id long, path string, sheet string, row int, text string, original string, plain_text string")
+    s = spark.createDataFrame([(i, "a", "s", i, t, t, k, k or "", t) for i, (t, k) in enumerate(source, 1)], "source_id long, path string, sheet string, row int, text string, original string, korean string, korean_key string, plain_text string")
+    return b, s
+
+
+def test_decisions(spark):
+    base = ["p", "q", "r", "x", "u", "v", "w", "z", "m", "only"]
+    source = [("p", "1"), ("q", "2"), ("r", "3"), ("x", "good"), ("u", "4"), ("v", "5"), ("w", "6"), ("x", "bad"), ("m", None), ("only", "7"), ("only", "7")]
+    b, s = sides(spark, base, source)
+    got = {r["baseline_id"]: (r["n"], r["missing"], r["variants"], r["source_id"], r["status"]) for r in rounds.match_round(b, s).collect()}
+    assert got[4] == (2, 0, 2, 4, "context")
+    assert got[8] == (0, 0, 0, None, "unmatched")
+    assert got[9] == (1, 1, 0, None, "all_missing")
+    assert got[10] == (2, 0, 1, 10, "unique")
+
+
+def test_ties_stay_pending_and_later_rounds_keep_settled_rows(spark):
+    b, s = sides(spark, ["x", "y…"], [("x", "1"), ("x", "2"), ("y...", "3")])
+    first = rounds.match_round(b, s)
+    assert {r["baseline_id"]: r["status"] for r in first.collect()} == {1: "pending", 2: "unmatched"}
+    from lineweave.plans import lookup
+
+    done = {r["baseline_id"]: (r["status"], r["match_type"]) for r in lookup.exact_then_plain(b, s).collect()}
+    assert done == {1: ("pending", "punctuation"), 2: ("unique", "punctuation")}
+
+
+def test_fuzzy_join_is_complete(spark):
+    texts = ["今天天气很好", "今天天气真好", "今天天气很好吗", "明天见", "明天再见", "abcde", "abcdx", "abxde", "xbcde", "aabbccdd", "ddccbbaa", "!!!!"]
+    one = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {(r[0], r[1]): r[2] for r in fuzzy.similar_texts(one, one).collect()}
+    want = {(a, b): m for a in texts for b in texts if a != "!!!!" and b != "!!!!" and (m := difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()) * 100 >= 80}
+    assert got == want
+
+
+def test_merge_links(spark):
+    parts, wholes = sides(spark, ["ab", "cd", "ef", "gh"], [("cdef", "1"), ("abcdefgh", "2"), ("xx", "3")])
+    parts, wholes = (structure.with_blocks(structure.with_comparison(x)) for x in (parts, wholes))
+    got = {(r["source_id"], tuple(r["ids"])) for r in structure.linked_runs(parts, "baseline_id", wholes, "source_id").collect()}
+    assert got == {(1, (2, 3)), (2, (1, 2, 3, 4))}
+
+
+def test_keys(spark):
+    numbers = spark.createDataFrame([(1,), (12,), (123,), (7,)], "n long")
+    near = {(r[0], r[1]) for r in keys.within_band(numbers.toDF("a"), numbers.toDF("b"), "a", "b", 5).collect()}
+    assert near == {(a, b) for a in (1, 12, 123, 7) for b in (1, 12, 123, 7) if abs(a - b) <= 5}
+    heads = {(r[0], r[1]) for r in keys.by_number_prefix(numbers.toDF("a"), numbers.toDF("b"), "a", "b").collect()}
+    assert heads == {(1, 12), (12, 123), (1, 123)}
+
+
+def test_compare(spark):
+    form = "id long, rel string, sheet string, row long, key string, text string, translation string, is_formula boolean"
+    ours = spark.createDataFrame([(1, "f", "s", 1, "k1", "t", "new", False), (2, "f", "s", 2, "k2", "t", "a b", False), (3, "f", "s", 3, "", "t", "x", False), (4, "f", "s", 4, "k4", "t", "x", False)], form)
+    theirs = spark.createDataFrame([(1, "f", "s", 1, "k1", "t", "new", False), (2, "f", "s", 2, "k2", "t", "a-b", False), (3, "f", "s", 9, "", "t", "x", False), (5, "g", "s", 4, "k4", "t", "x", False), (6, "h", "s", 4, "k4", "t", "x", False)], form)
+    log = spark.createDataFrame([("f", "s", 1, "k1", "old", "new", "filled")], "rel string, sheet string, row long, key string, old string, new string, action string")
+    got = {r["id"]: (r["verdict"], r["difference"]) for r in reports.compare_fills(ours, theirs, log).collect()}
+    assert got == {1: ("final", None), 2: ("different", "marks"), 3: ("no_partner", None), 4: ("no_partner", None)}
+
+
+def book(cells, hidden_rows=()):
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rows = {}
+    for ref, row, content in cells:
+        rows.setdefault(row, []).append(f'<c r="{ref}{row}" {content}')
+    sheet = "".join(f'<row r="{r}"{" hidden=\"1\"" if r in hidden_rows else ""}>{"".join(c)}</row>' for r, c in sorted(rows.items()))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="正文" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{sheet}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def text_cell(value):
+    return f't="inlineStr"><is><t>{value}</t></is></c>'
+
+
+def test_workbooks(spark, tmp_path):
+    cells = [("A", 1, text_cell("台词")), ("B", 1, text_cell("한국어")), ("A", 2, text_cell("你好")), ("B", 2, "><f>A1</f><v>1</v></c>")]
+    (tmp_path / "a.xlsx").write_bytes(book(cells, hidden_rows=(2,)))
+    (tmp_path / "bad.xlsx").write_bytes(b"no zip")
+    (tmp_path / "old.xls").write_bytes(b"x")
+    (tmp_path / "~$a.xlsx").write_bytes(b"x")
+    found = workbook.find_workbooks(spark, str(tmp_path))
+    assert sorted(r["supported"] for r in found.collect()) == [False, True, True]
+    read = workbook.read_cells(found)
+    rows = {(r["row"], r["col"]): (r["value"], r["data_type"], r["row_hidden"]) for r in read.filter("error is null").collect()}
+    assert rows == {(1, 1): ("台词", "s", False), (1, 2): ("한국어", "s", False), (2, 1): ("你好", "s", True), (2, 2): ("=A1", "f", True)}
+    assert read.filter("error is not null").count() == 1
+    hits = workbook.header_hits(read, workbook.CHINESE_HEADERS, workbook.KOREAN_HEADERS)
+    assert [(r["issue"], r["header_row"]) for r in workbook.sheet_verdicts(hits).collect()] == [("", 1)]
+
+
+def test_reviews_are_all_or_nothing(spark):
+    form = "identity string, fingerprint string, decision string"
+    old = spark.createDataFrame([("a", "1", "yes")], form)
+    candidates = spark.createDataFrame([("a", "1"), ("b", "2")], "identity string, fingerprint string")
+    filled = spark.createDataFrame([("a", "1", ""), ("b", "2", "no")], form)
+    assert {tuple(r) for r in workbook.apply_reviews(old, filled, candidates).collect()} == {("a", "1", "yes"), ("b", "2", "no")}
+    for bad in [("b", "9", "no"), ("c", "1", "no"), ("b", "2", "maybe")]:
+        with pytest.raises(ValueError, match="refused"):
+            workbook.apply_reviews(old, spark.createDataFrame([bad], form), candidates)
