@@ -65,14 +65,14 @@ def find_matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     anchors = starts.withColumn("rank", F.row_number().over(rarest)).filter(F.col("rank") <= ANCHORS)
     whole = Window.partitionBy("item_key", "start")
     anchors = anchors.withColumn("needed", F.count("*").over(whole)).withColumn("dead", F.max(F.col("places").isNull()).over(whole)).filter(~F.col("dead"))
-    anchors = stash(anchors.select("item_key", "start", "at", "term", "needed"), "anchors")
+    anchors = stash(anchors.select("item_key", "start", "at", "term", F.expr("shiftleft(1, rank - 1)").alias("bit"), F.expr("cast(shiftleft(1, cast(needed as int)) - 1 as int)").alias("needed")), "anchors")
 
     anchor_places = anchors.select("term", "item_key", "at").distinct()
     postings = _places(docs).join(_small(anchor_places.select("term").distinct()), "term")
     on_diagonal = postings.join(_small(anchor_places), "term").select("doc_key", "item_key", (F.col("pos") - F.col("at")).alias("shift"), "at")
-    # one row for a diagonal and an anchor position; then whole windows of anchors
-    by_window = on_diagonal.join(_small(anchors.select("item_key", "start", "at", "needed")), ["item_key", "at"])
-    full = by_window.groupBy("doc_key", "item_key", "shift", "start", "needed").agg(F.count("*").alias("got")).filter(F.col("got") == F.col("needed"))
+    # whole windows of anchors: one bit for each anchor, so that repeated rows of a document count once
+    by_window = on_diagonal.join(_small(anchors.select("item_key", "start", "at", "bit", "needed")), ["item_key", "at"])
+    full = by_window.groupBy("doc_key", "item_key", "shift", "start", "needed").agg(F.bit_or("bit").alias("got")).filter(F.col("got") == F.col("needed"))
     diagonals = full.select("doc_key", "item_key", "shift").distinct()
 
     candidates = diagonals.join(_small(items), "item_key")
