@@ -6,7 +6,6 @@ import difflib
 import re
 import unicodedata
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -169,11 +168,15 @@ def lcs_similarity(a: str, b: str) -> float:
     """Twice the longest common subsequence over both lengths."""
     if not a or not b:
         return float(a == b)
-    x, y = (np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in (a, b))
-    best = np.zeros(len(y) + 1, dtype=np.int32)
-    for c in x:
-        best[1:] = np.maximum.accumulate(np.maximum(best[1:], np.where(y == c, best[:-1] + 1, 0)))
-    return 2 * int(best[-1]) / (len(a) + len(b))
+    # one bit a place of b, kept as long integers: a cleared bit is a place at which the subsequence grows
+    places: dict[str, int] = {}
+    for i, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << i
+    free = whole = (1 << len(b)) - 1
+    for c in a:
+        met = free & places.get(c, 0)
+        free = (free + met | free - met) & whole
+    return 2 * (len(b) - free.bit_count()) / (len(a) + len(b))
 
 
 def sequence_ratio(baseline: str, source: str) -> float:

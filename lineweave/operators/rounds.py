@@ -24,6 +24,26 @@ def with_context(rows: DataFrame, key: str = "text") -> DataFrame:
     return filled.withColumn("previous", before).withColumn("following", F.collect_list(key).over(sheet.rowsBetween(1, SIDE)))
 
 
+def context_with_skips(rows: DataFrame, id_name: str) -> DataFrame:
+    """id, side, row, text, context_skip: the lines around each usable row until three usable ones, skipped ones included.
+
+    rows(path, sheet, row, text, context_skip); lines with a skip mark are evidence and do not count. A line is in
+    reach if fewer than three usable lines lie between; running counts make that an equi-join.
+    """
+    sheet = Window.partitionBy("path", "sheet").orderBy("row")
+    usable = (F.col("context_skip") == "").cast("int")
+    lines = rows.filter("text <> '' or context_skip <> ''").withColumn("upto", F.sum(usable).over(sheet))
+    others = lines.select("path", "sheet", "upto", F.col("row").alias("at"), F.col("text").alias("near"), F.col("context_skip").alias("skip"))
+    # a line after the row is counted from the line before it
+    others_after = others.withColumn("upto", F.col("upto") - (F.col("skip") == "").cast("int"))
+    mine = lines.filter("context_skip = ''")
+    back, ahead = F.sequence(F.col("upto") - SIDE, F.col("upto") - 1), F.sequence(F.col("upto"), F.col("upto") + SIDE - 1)
+    reach = lambda steps: mine.select(F.col(id_name).alias("id"), "path", "sheet", "row", F.explode(steps).alias("upto"))
+    before = reach(back).join(others, ["path", "sheet", "upto"]).filter("at < row").withColumn("side", F.lit("before"))
+    after = reach(ahead).join(others_after, ["path", "sheet", "upto"]).filter("at > row").withColumn("side", F.lit("after"))
+    return before.unionByName(after).select("id", "side", F.col("at").alias("row"), F.col("near").alias("text"), F.col("skip").alias("context_skip"))
+
+
 def side_equal(a: Column, b: Column) -> Column:
     """Positions at which two sides of a context agree."""
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda e: e))
