@@ -160,9 +160,8 @@ def line_hashes(lines: list[Line]) -> list[int]:
 
 
 def main_text(lines: list[Line], shared: np.ndarray) -> str:
-    """Article lines, or if none is marked up, the lines not shared with the partner."""
-    marked = any(x.article for x in lines)
-    return " ".join(x.text for x, s in zip(lines, shared, strict=True) if (x.article if marked else not s))
+    """The lines not shared with the partner; a marked-up article protects its lines from deletion."""
+    return " ".join(x.text for x, s in zip(lines, shared, strict=True) if x.article or not s)
 
 
 def url_host(url: Column) -> Column:

@@ -47,6 +47,13 @@ def test_html_differencing_and_odd_pages(spark):
     assert html_diff.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_differencing_decides_beside_an_article(spark):
+    page = "<div>Menu</div><p>Lead {}</p><article><p>Quoted</p><p>Story {}</p></article><p>Note {}</p><div>Contact</div>"
+    rows = [(k, f"http://h/{k}", page.format(k, k, k)) for k in (1, 2)]
+    got = html_diff.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == [(k, f"Lead {k} Quoted Story {k} Note {k}") for k in (1, 2)]
+
+
 def test_license_scan(spark, real):
     for r in license_scan.scan_licenses(real["documents"]).join(real["documents"].select("doc_id", "text"), "doc_id").collect():
         words = re.findall(license_scan.WORD_PATTERN, "".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"]))
