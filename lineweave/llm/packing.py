@@ -37,7 +37,7 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) ->
     """Packing patterns (lengths in order of placing) with their counts.
 
     The longest length goes to the shortest packs that have room, all packs of a pattern at once; what finds no
-    room opens new packs. A length meets each fill level once, so that the patterns stay a few times the lengths.
+    room opens new packs and fills them. A length meets each fill level once, so that the patterns stay a few times the lengths.
     """
     by_fill: dict[int, dict[tuple[int, ...], int]] = {}
     fills: list[int] = []
@@ -66,7 +66,13 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) ->
                 put((*pattern, length), fill + length, used)
                 left -= used
             else:
-                put((length,), length, left)
+                # placed one by one, the pack just opened is the shortest with room until it is full
+                each = capacity // length
+                full, rest = divmod(left, each)
+                if full:
+                    put((length,) * each, each * length, full)
+                if rest:
+                    put((length,) * rest, rest * length, 1)
                 left = 0
     return sorted(((p, c) for patterns in by_fill.values() for p, c in patterns.items()), key=lambda x: (-sum(x[0]), x[0]))
 

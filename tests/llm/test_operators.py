@@ -129,6 +129,21 @@ def test_shortest_pack_first():
     assert placed == histogram
 
 
+@pytest.mark.parametrize("histogram", [{400: 1003}, {1: 100_000}, {2000: 5, 1: 100_000}, {1500: 40, 400: 9_000, 30: 700}])
+def test_one_hot_length_fills_its_packs(histogram):
+    patterns = packing.shortest_pack_first(histogram)
+    placed = Counter()
+    for lengths, count in patterns:
+        assert sum(lengths) <= packing.CAPACITY
+        for n in lengths:
+            placed[n] += count
+    assert placed == histogram
+    tokens = sum(n * count for n, count in histogram.items())
+    hot = max(histogram, key=histogram.get)
+    # no more than a sequence beyond what the hot length's own waste asks for
+    assert sum(count for _, count in patterns) <= tokens / (packing.CAPACITY - packing.CAPACITY % hot) + 1
+
+
 def test_language(spark, real):
     docs = real["documents"].unionByName(documents(spark, (-1, None), (-2, "12 !!"), (None, "the and of")).select(*real["documents"].columns))
     rows = language_id.identify_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
