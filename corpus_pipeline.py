@@ -34,17 +34,23 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component stays; of repeated rows, one."""
-    found = simhash_dedup.near_duplicates(docs)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The row with the smallest doc_id of each component stays, null ids last; of repeated rows, one.
+
+    Rows are known by doc_id and text, so that rows which share an id, or have none, are decided each for itself.
+    """
+    found = simhash_dedup.labelled(docs)
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("__first"), F.col("first.text_hash").alias("__first_hash"))
+    rows = docs.withColumn("__hash", F.xxhash64("text"))
+    kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("__first")) & (F.col("__hash") == F.col("__first_hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__hash"]).drop("__hash")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
-    bad = found.filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    """Rows whose own text is contaminated go, whatever other rows share their doc_id or have none either."""
+    found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    bad = found.filter("contaminated").select(F.col("doc_key.doc_id").alias("__bad"), F.col("doc_key.text_hash").alias("__bad_hash")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")) & (F.xxhash64("text") == F.col("__bad_hash")), "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

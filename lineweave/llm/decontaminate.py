@@ -95,15 +95,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").withColumn("doc_key", F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.05) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs(doc_id, text, ...).
-
-    A document word within any occurrence of an item window counts once, whatever the number of items.
-    contaminated: n_hit > 0 and n_hit >= share * n_words. Null and empty texts have no words and no hits; an
-    item without words matches nothing; repeated rows of documents or items change no count (repeated rows
-    give repeated results); null ids are kept, a null item_id counts as an item with an empty id; other
-    columns are ignored; no rows give no rows.
-    """
+def contamination(docs: DataFrame, benchmark: DataFrame, share: float = 0.05) -> DataFrame:
+    """The columns of decontaminate() and doc_key, which tells apart the rows that share a doc_id or have none."""
     rows = keyed(docs)
     items = stash(item_words(benchmark), "items")
     matches = find_matches(rows.select("doc_key", "text"), items)
@@ -118,7 +111,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.05) ->
     out = counted.join(found.withColumnRenamed("doc_key", "found_key"), F.col("doc_key").eqNullSafe(F.col("found_key")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
+        "doc_id", "doc_key", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce("names", F.lit("")).cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (n_hit >= F.lit(share) * F.col("n_words"))).alias("contaminated"),
     )
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, share: float = 0.05) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs(doc_id, text, ...).
+
+    A document word within any occurrence of an item window counts once, whatever the number of items.
+    contaminated: n_hit > 0 and n_hit >= share * n_words. Null and empty texts have no words and no hits; an
+    item without words matches nothing; repeated rows of documents or items change no count (repeated rows
+    give repeated results); null ids are kept, a null item_id counts as an item with an empty id; other
+    columns are ignored; no rows give no rows.
+    """
+    return contamination(docs, benchmark, share).drop("doc_key")

@@ -48,7 +48,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, text_hash and fp (the fingerprint as a signed long) of every row."""
     prepare_python(docs.sparkSession)
 
     @F.pandas_udf("long")
@@ -57,7 +57,7 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
             found = np.fromiter((fingerprint(t) for t in texts), dtype=np.uint64, count=len(texts))
             yield pd.Series(found.view(np.int64))
 
-    return docs.select("doc_id", fingerprints("text").alias("fp"))
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprints("text").alias("fp"))
 
 
 def halves(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,12 +201,10 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id for every row of docs(doc_id, text, ...).
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, fp, label, component_id for every row of docs(doc_id, text, ...).
 
-    component_id is the smallest doc_id reachable over links of at most 3 differing bits, itself included. Null and
-    empty texts have fingerprint zero and link like any other; repeated rows share a component; a null doc_id gets
-    its component's smallest id (null if the component has none); other columns are ignored; no rows give no rows.
+    label names the component and is never null; component_id is its smallest doc_id, null if it has none.
     """
     rows = stash(with_fingerprint(docs), "fingerprints")
     distinct = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
@@ -214,9 +212,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # the smallest id of each component; fingerprints without links are their own component
     named = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    by_fp = stash(named.join(smallest, "label").select("fp", "component_id"), "components")
+    by_fp = stash(named.join(smallest, "label").select("fp", "label", "component_id"), "components")
     # copies make hot fingerprints: their rows are salted and the other side is repeated for each salt
     salts = 8
     left = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
     right = by_fp.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.join(right, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return left.join(right, ["fp", "salt"]).select("doc_id", "text_hash", "fp", "label", "component_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id for every row of docs(doc_id, text, ...).
+
+    component_id is the smallest doc_id reachable over links of at most 3 differing bits, itself included. Null and
+    empty texts have fingerprint zero and link like any other; repeated rows share a component; a null doc_id gets
+    its component's smallest id (null if the component has none); other columns are ignored; no rows give no rows.
+    """
+    return labelled(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

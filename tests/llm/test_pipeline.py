@@ -20,3 +20,20 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert sorted(r[0] for r in single.select("doc_id").collect()) == sorted(firsts)
     clean = stages["toxicity"](spark, docs, SMALL).join(labels, "doc_id")
     assert clean.filter("toxic = 0").count() >= 0.95 * labels.filter("toxic = 0").count()
+
+
+def test_stages_decide_by_row(spark):
+    words = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    benchmark = spark.read.parquet(f"{SMALL}/benchmark.parquet").filter("text is not null").orderBy("item_id").first()["text"]
+    # null ids, and an id with several texts; one text twice under each
+    rows = [(None, words[0]), (None, words[1]), (None, words[1]), (7, words[2]), (7, words[3]), (7, words[3]), (8, words[3]), (None, words[2]), (None, benchmark), (7, benchmark)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    single = stages["simhash_dedup"](spark, docs, SMALL)
+    assert single.columns == docs.columns
+    wanted = [(None, words[0]), (None, words[1]), (7, words[2]), (7, words[3]), (7, benchmark)]
+    assert sorted(((r["doc_id"], r["text"]) for r in single.collect()), key=order) == sorted(wanted, key=order)
+    clean = stages["decontamination"](spark, docs, SMALL)
+    assert clean.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=order) == sorted(rows[:-2], key=order)
