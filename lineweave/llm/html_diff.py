@@ -37,8 +37,10 @@ FURNITURE = frozenset(
     "ad ads adv advert advertisement adverts alert announcement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar topbar widget".split()
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
-_MARK = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-_PARTS = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# What a page may wrap its article in; other dropped elements hide all they hold.
+WRAPPERS = frozenset("aside footer form header menu nav search".split())
+KEPT, WRAPPED, HIDDEN = 0, 1, 2
 #: Cells of an alignment; longer pairs of line lists are aligned in windows of this square.
 ALIGN_LINES = 2_000
 
@@ -49,25 +51,34 @@ class Line:
     article: bool
 
 
-def _is_furniture(name: str, attributes: str, in_article: bool) -> bool:
+def _furniture(name: str, attributes: str, in_article: bool) -> int:
+    """KEPT, WRAPPED (furniture that an article inside may still leave) or HIDDEN."""
+    found = KEPT
     if name in DROPPED or (name == "header" and not in_article):
-        return True
-    if not attributes:
-        return False
-    for m in _MARK.finditer(attributes):
+        found = WRAPPED if name in WRAPPERS else HIDDEN
+    for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
-        if key in ("class", "id", "role") and name not in ("html", "body", "article", "main") and not FURNITURE.isdisjoint(_PARTS.findall(value)):
-            return True
-    return False
+        if key == "hidden" or (key == "aria-hidden" and value.strip() == "true"):
+            return HIDDEN
+        if key in ("class", "id", "role") and name not in ("html", "body", "article", "main") and not FURNITURE.isdisjoint(value.split()):
+            found = max(found, WRAPPED)
+    return found
 
 
 def page_lines(html: str | None) -> list[Line]:
-    """The visible lines of a page in order, without furniture; `article` where an article or main element holds them."""
-    text, lines, run = html or "", [], []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, article
-    dropped = article = False
+    """The visible lines of a page in order, without furniture; `article` where an article or main element holds them.
+
+    Articles within furniture are comments or teasers, unless the page has no other: then the furniture wraps the page.
+    """
+    lines, wrapped = _read_lines(html or "", False)
+    return _read_lines(html or "", True)[0] if wrapped and not any(x.article for x in lines) else lines
+
+
+def _read_lines(text: str, unwrap: bool) -> tuple[list[Line], bool]:
+    """Lines, and whether furniture wraps an article; with `unwrap` such an article is read."""
+    lines, run = [], []
+    stack: list[tuple[str, int, bool]] = []  # name, dropped, article
+    dropped, article, wrapped = KEPT, False, False
     at = 0
 
     def end_line() -> None:
@@ -102,8 +113,15 @@ def page_lines(html: str | None) -> list[Line]:
                 continue
             if name == "p" and stack and stack[-1][0] == "p":
                 stack.pop()
-            inner_article = article or name in ("article", "main") or "articlebody" in m[3].lower()
-            inner_dropped = dropped or _is_furniture(name, m[3], article)
+            marks = name in ("article", "main") or "articlebody" in m[3].lower()
+            inner_article = article or marks
+            outer = dropped
+            if marks and dropped == WRAPPED:
+                wrapped = True
+                outer = KEPT if unwrap else dropped
+            inner_dropped = max(outer, _furniture(name, m[3], article))
+            if name in BLOCKS and inner_dropped != dropped:
+                end_line()
             stack.append((name, inner_dropped, inner_article))
             if name in RAW:  # nothing inside is markup
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(text, at)
@@ -111,9 +129,9 @@ def page_lines(html: str | None) -> list[Line]:
                     run.append(text[at : end.start() if end else len(text)])
                 at = end.start() if end else len(text)
         article = bool(stack) and stack[-1][2]
-        dropped = bool(stack) and stack[-1][1]
+        dropped = stack[-1][1] if stack else KEPT
     end_line()
-    return lines
+    return lines, wrapped
 
 
 def shared_by_lcs(a: np.ndarray, b: np.ndarray) -> np.ndarray:

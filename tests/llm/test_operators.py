@@ -54,6 +54,17 @@ def test_html_differencing_decides_beside_an_article(spark):
     assert sorted((r["page_id"], r["text"]) for r in got) == [(k, f"Lead {k} Quoted Story {k} Note {k}") for k in (1, 2)]
 
 
+def test_html_furniture_is_named_as_such():
+    text = lambda page: [x.text for x in html_diff.page_lines(page)]
+    assert text('<body style="overflow:hidden"><div style="overflow:hidden">A</div><p><a href="/hidden-gems">B</a></p></body>') == ["A", "B"]
+    assert text('<div data-x="id=nav" class="content has-sidebar">A</div><div id="main-search">B</div>') == ["A", "B"]
+    assert text('<div hidden>A</div><div aria-hidden="true">B</div><div class="x sidebar">C</div><div id=nav>D</div><p HIDDEN>E</p><p>F') == ["F"]
+    # an article within furniture stays where the page has no other, unless it is hidden
+    assert text('<div class="sidebar">A<article><p>B</p></article>C</div><form><main>D</main></form>') == ["B", "D"]
+    assert text('<article>A</article><div class="comments"><article>B</article></div>') == ["A"]
+    assert text('<div hidden><article>A</article></div><template><main>B</main></template><p>C</p>') == ["C"]
+
+
 def test_license_scan(spark, real):
     for r in license_scan.scan_licenses(real["documents"]).join(real["documents"].select("doc_id", "text"), "doc_id").collect():
         words = re.findall(license_scan.WORD_PATTERN, "".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"]))
