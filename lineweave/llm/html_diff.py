@@ -1,12 +1,13 @@
 """HTML extraction by differencing each page with the nearest page of its host.
 
-Pages are put in the order of (host, URL path); a page's partner is its neighbour in that order on the same
-host. The text lines of both are aligned by longest common subsequence, and lines on that subsequence are
+Pages of a host with equal lines are one group, and groups are put in the order of (host, URL path) of their first
+page; the partner of a group is its neighbour in that order on the same host. The text lines of both are aligned by longest common subsequence, and lines on that subsequence are
 shared: menus, notices and other furniture repeat from page to page, the article does not. Shared lines are
 deleted, except within an element that is marked up as the article (a passage that two articles quote is still
 theirs). Markup that never holds an article is left out before.
 
-Only line hashes travel between pages, and each page meets one partner, whatever the size of its host.
+Only line hashes travel between pages, and each page meets one partner, whatever the size of its host; large groups
+are salted.
 """
 
 from __future__ import annotations
@@ -41,8 +42,9 @@ _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 # What a page may wrap its article in; other dropped elements hide all they hold.
 WRAPPERS = frozenset("aside footer form header menu nav search".split())
 KEPT, WRAPPED, HIDDEN = 0, 1, 2
-#: Cells of an alignment; longer pairs of line lists are aligned in windows of this square.
-ALIGN_LINES = 2_000
+#: Rows of one group of equal pages that one task joins, at least; at most GROUPS groups are larger than salted ones.
+GROUP_ROWS = 100
+GROUPS = 5_000
 
 
 @dataclass
@@ -137,42 +139,65 @@ def _read_lines(text: str, unwrap: bool) -> tuple[list[Line], bool]:
 def shared_by_lcs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which entries of a lie on a longest common subsequence with b."""
     shared = np.zeros(len(a), dtype=bool)
-    if len(a) > ALIGN_LINES or len(b) > ALIGN_LINES:
-        steps = max(-(-len(a) // ALIGN_LINES), -(-len(b) // ALIGN_LINES))
-        for k in range(steps):
-            part = slice(len(a) * k // steps, len(a) * (k + 1) // steps)
-            shared[part] = shared_by_lcs(a[part], b[len(b) * k // steps : len(b) * (k + 1) // steps])
-        return shared
     n, m = len(a), len(b)
-    start = 0
-    while start < min(n, m) and a[start] == b[start]:
-        shared[start] = True
-        start += 1
-    stop = 0
-    while stop < min(n, m) - start and a[n - 1 - stop] == b[m - 1 - stop]:
-        shared[n - 1 - stop] = True
-        stop += 1
+    differs = np.flatnonzero(a[: min(n, m)] != b[: min(n, m)])
+    start = int(differs[0]) if len(differs) else min(n, m)
+    left = min(n, m) - start
+    differs = np.flatnonzero(a[n - left :][::-1] != b[m - left :][::-1])
+    stop = int(differs[0]) if len(differs) else left
+    shared[:start] = True
+    shared[n - stop :] = True
     x, y = a[start : n - stop], b[start : m - stop]
     # lines that only one side has are on no common subsequence
     rows, columns = np.flatnonzero(np.isin(x, y)), np.flatnonzero(np.isin(y, x))
-    if not len(rows) or not len(columns):
-        return shared
-    x, y = x[rows], y[columns]
-    best = np.zeros((len(x) + 1, len(y) + 1), dtype=np.int32)
-    for i in range(len(x)):
-        best[i + 1, 1:] = np.maximum.accumulate(np.maximum(best[i, 1:], np.where(y == x[i], best[i, :-1] + 1, 0)))
-    i, j = len(x), len(y)
-    while i and j:
-        if x[i - 1] == y[j - 1]:
-            shared[start + rows[i - 1]] = True
-            i, j = i - 1, j - 1
-        elif best[i - 1, j] >= best[i, j - 1]:
-            i -= 1
-        else:
-            j -= 1
+    if len(rows) and len(columns):
+        shared[start + rows[_align(x[rows], y[columns])]] = True
     return shared
 
 
+def _align(x: np.ndarray, y: np.ndarray) -> list[int]:
+    """Places of x on a longest common subsequence with y, by bit sets.
+
+    Bit j of a row's set is 0 where the subsequence with y[: j + 1] is longer than with y[:j]. Only the sets at the
+    bounds of blocks of rows are held; a block's own sets are computed again on the way back.
+    """
+    whole = (1 << len(y)) - 1
+    order = np.argsort(y, kind="stable")
+    first, last = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
+
+    def places(i: int) -> int:
+        bits = np.zeros(len(y), dtype=bool)
+        bits[order[first[i] : last[i]]] = True
+        return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+    def step(row: int, i: int) -> int:
+        both = row & (found := places(i))
+        return ((row + both) | (row & ~found)) & whole
+
+    block = max(1, int(len(x) ** 0.5))
+    bounds, row = [], whole
+    for i in range(len(x)):
+        if i % block == 0:
+            bounds.append(row)
+        row = step(row, i)
+    met, column = [], len(y)
+    for k in range(len(bounds) - 1, -1, -1):
+        sets = [bounds[k]]  # the set before row i stands at i - k * block
+        for i in range(k * block, min(len(x), (k + 1) * block)):
+            sets.append(step(sets[-1], i))
+        for i in range(len(sets) - 1, 0, -1):
+            size = -(-len(y) // 8)
+            own, above = sets[i].to_bytes(size, "little"), sets[i - 1].to_bytes(size, "little")
+            while column and own[(column - 1) >> 3] >> ((column - 1) & 7) & 1:
+                column -= 1
+            if not column:
+                return met
+            if above[(column - 1) >> 3] >> ((column - 1) & 7) & 1:
+                met.append(k * block + i - 1)
+                column -= 1
+    return met
+
+
 def line_hashes(lines: list[Line]) -> list[int]:
     return [zlib.crc32(x.text.encode("utf-8", "surrogatepass")) for x in lines]
 
@@ -211,12 +236,35 @@ def partners(keys: DataFrame) -> DataFrame:
     return near.select("page_key", partner.alias("partner_key"))
 
 
+def known_partners(pages: DataFrame) -> DataFrame:
+    """page_key, partner_key, lines (of the partner) of pages(page_key, host, path, lines).
+
+    The partner is the nearest page of the host with other lines; pages without lines are nobody's partner.
+    """
+    pages = pages.withColumn("group", F.xxhash64("lines"))
+    filled = pages.filter(F.size("lines") > 0)
+    groups = stash(filled.groupBy("host", "group").agg(F.min(F.struct("path", "page_key")).alias("first"), F.count("*").alias("n")), "groups")
+    pairs = partners(groups.select("first.page_key", "host", "first.path"))
+    lines = filled.select(F.col("page_key").alias("partner_key"), "lines")
+    # a group is the partner of two others at most, so no key of this join is hot
+    met = pairs.join(lines, "partner_key").select("page_key", "partner_key", "lines")
+    by_group = groups.select("host", "group", "n", F.col("first.page_key").alias("page_key")).join(met, "page_key").drop("page_key")
+    # copies make hot groups: their rows are salted and the partner is repeated for each salt
+    most = max(GROUP_ROWS, (groups.agg(F.sum("n")).first()[0] or 0) // GROUPS)
+    salts = F.ceil(F.col("n") / most).cast("int")
+    hot = F.broadcast(groups.filter(F.col("n") > most).select("host", "group", salts.alias("salts")))
+    rows = pages.select("page_key", "host", "group").join(hot, ["host", "group"], "left")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_key"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    dealt = by_group.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
+    return rows.join(dealt, ["host", "group", "salt"], "left").select("page_key", "partner_key", "lines")
+
+
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, partner_id, n_lines, n_shared for every row of pages(page_id, url, html, ...).
 
-    Null or empty html gives empty text; a null url belongs to the empty host; a page alone on its host has no
-    partner and no shared line; repeated rows are pages of their own and may be partners of each other; very long
-    pages are aligned in windows; other columns are ignored; no rows give no rows.
+    Null or empty html gives empty text; a null url belongs to the empty host; a page whose host has no other lines
+    than its own has no partner and no shared line; repeated rows are pages of their own, with the same partner; very
+    long pages are aligned whole; other columns are ignored; no rows give no rows.
     """
     prepare_python(pages.sparkSession)
     rows = pages.select("page_id", "url", "html").withColumn("page_key", F.struct("page_id", F.xxhash64("url", "html").alias("h"), F.monotonically_increasing_id().alias("n")))
@@ -237,10 +285,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
                 out.append((main_text(lines, shared), len(lines), int(shared.sum())))
             yield pd.DataFrame(out, columns=["text", "n_lines", "n_shared"])
 
-    keys = rows.select("page_key", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    pairs = partners(keys)
-    lines = rows.select(F.col("page_key").alias("partner_key"), hashes("html").alias("lines"))
-    # most pages are the partner of one other page, so no key of this join is hot
-    known = pairs.join(lines, "partner_key", "left").select("page_key", "lines", F.col("partner_key.page_id").alias("partner_id"))
+    keys = rows.select("page_key", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), hashes("html").alias("lines"))
+    known = known_partners(stash(keys, "lines")).select("page_key", "lines", F.col("partner_key.page_id").alias("partner_id"))
     met = rows.join(known, "page_key").withColumn("r", extracted("html", "lines"))
     return met.select("page_id", "url", "r.text", F.length("r.text").cast("long").alias("n_chars"), "partner_id", "r.n_lines", "r.n_shared")

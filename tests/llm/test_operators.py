@@ -65,6 +65,31 @@ def test_html_furniture_is_named_as_such():
     assert text('<div hidden><article>A</article></div><template><main>B</main></template><p>C</p>') == ["C"]
 
 
+def test_html_copies_have_another_partner(spark):
+    page = "<div>Menu</div><p>{}</p><div>Contact</div>"
+    urls = ["http://h/a/1", "http://h/a/1?page=2", "http://h/a/1#top", "http://h/a/1.html"]
+    rows = [(1, u, page.format("One")) for u in urls for _ in range(60)] + [(2, "http://h/b", page.format("Two")), (3, "http://h/a/2", None), (4, "http://copies/1", page.format("Only")), (5, "http://copies/2", page.format("Only"))]
+    got = {tuple(r) for r in html_diff.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).select("page_id", "text", "partner_id").collect()}
+    assert got == {(1, "One", 2), (2, "Two", 1), (3, "", None), (4, "Menu Only Contact", None), (5, "Menu Only Contact", None)}
+
+
+def test_html_long_lists_are_aligned_whole():
+    menu = np.arange(100)
+    own = np.concatenate((menu[:40], np.arange(1_000, 10_900), menu[40:]))
+    assert html_diff.shared_by_lcs(own, menu).sum() == 100
+    a, b = np.arange(5_000), np.concatenate((np.arange(3_000, 5_000), np.arange(3_000)))
+    assert np.flatnonzero(html_diff.shared_by_lcs(a, b)).tolist() == list(range(3_000))
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        a, b = rng.integers(0, 6, rng.integers(0, 30)), rng.integers(0, 6, rng.integers(0, 30))
+        best = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
+        for i, j in np.ndindex(len(a), len(b)):
+            best[i + 1, j + 1] = best[i, j] + 1 if a[i] == b[j] else max(best[i, j + 1], best[i + 1, j])
+        on = a[html_diff.shared_by_lcs(a, b)]
+        rest = iter(b.tolist())
+        assert len(on) == best[-1, -1] and all(x in rest for x in on.tolist())
+
+
 def test_license_scan(spark, real):
     for r in license_scan.scan_licenses(real["documents"]).join(real["documents"].select("doc_id", "text"), "doc_id").collect():
         words = re.findall(license_scan.WORD_PATTERN, "".join(c.lower() if "A" <= c <= "Z" else c for c in r["text"]))
