@@ -75,9 +75,7 @@ def j19(spark, d):
 
 @query("j20_similar_unique")
 def j20(spark, d):
-    """Lines of 6 to 60 letters and digits: dialogue lines; the operator has no upper limit."""
-    s, b = (side.filter(F.length("loose").between(6, 60)) for side in _loose_sides(spark, d))
-    return proposals.similar_unique(s, b)
+    return proposals.similar_unique(*_loose_sides(spark, d))
 
 
 @query("w11_previous_lines", "with r as (select conv_id * 1000 + turn as id, conv_id, turn, role, turn % 3 = 0 as opt, turn % 5 = 1 as ex from conversations) select id as source_id, p.id as previous_id, p.role as previous_key from (select *, last_value(case when not opt and not ex then {'id': id, 'role': role} end ignore nulls) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding) as p from r) where opt and not ex")

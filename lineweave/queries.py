@@ -183,19 +183,15 @@ def cascade(spark, d):
     return lookup.exact_then_plain(_base(spark, d), _src(spark, d))
 
 
-def _short(rows: DataFrame) -> DataFrame:
-    return rows.filter(F.length("plain_text").between(1, 60))
-
-
 @query("j6_fuzzy_texts", None)
 def j6(spark, d):
-    return fuzzy.similar_texts(_short(_base(spark, d)).select("plain_text"), _short(_src(spark, d)).select("plain_text"))
+    return fuzzy.similar_texts(_base(spark, d).select("plain_text"), _src(spark, d).select("plain_text"))
 
 
 @query("d5_fuzzy_decision", None)
 def d5(spark, d):
     base, src = _base(spark, d), _src(spark, d)
-    return lookup.fuzzy_round(rounds.match_round(base, src, "text"), base, src, longest=60)
+    return lookup.fuzzy_round(rounds.match_round(base, src, "text"), base, src)
 
 
 # ---- reports

@@ -149,3 +149,14 @@ def test_existing_results_are_refused(spark):
     rows.refuse_existing(cells.filter("row = 2"), target)
     with pytest.raises(ValueError):
         rows.refuse_existing(cells, target)
+
+
+def test_fuzzy_queries_take_long_lines(spark, tmp_path):
+    from lineweave import proposal_queries, queries
+
+    line = " ".join(f"word{i}" for i in range(60))
+    rows = [(2, "en", f"{line} here"), (3, "en", f"{line} there")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert queries.j6(spark, str(tmp_path)).count() == 1
+    assert [r["n"] for r in queries.d5(spark, str(tmp_path)).collect()] == [1]
+    assert proposal_queries.j20(spark, str(tmp_path)).count() == 1
