@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import re
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import send_package
+from ..cluster import send_package, settle, spread
 
 #: Characters that one numpy step looks at; bounds the memory of a task whatever the texts are.
 CHUNK_CHARS = 400_000
 #: Words of the digest contracts: ASCII letters (lower case), digits and everything beyond ASCII.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BLANK = re.compile(r"\s")
+#: Rows of one key that one task joins, at least; and how many keys may have more than their share.
+HOT_ROWS = 1_000
+HOT_KEYS = 5_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(_UPPER, _LOWER)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def ascii_lower(col: Column) -> Column:
@@ -40,31 +42,31 @@ def prepare_python(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the cluster names none, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = os.environ.get("LINEWEAVE_TEST_DIR") or tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+def stash(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage: write df as Parquet in the shared folder and read it back; this survives lost executors."""
+    return settle(df, label)
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back.
+def join_spread(rows: DataFrame, table: DataFrame, sizes: DataFrame, keys: list[str], spread: Column, total: int, how: str = "inner") -> DataFrame:
+    """rows, many for each key, joined with table, few for each key; no task gets a hot key's rows alone.
 
-    Unlike a local checkpoint this survives lost executors, and it is compressed and columnar.
+    sizes(keys, n) counts the rows of each key and total those of all; `spread` differs among rows of a key. Keys
+    with more than total / HOT_KEYS rows (HOT_ROWS at least) are split, and only those entries of table repeated:
+    there are fewer than HOT_KEYS of them, a proven bound for the broadcast.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lineweave-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    hot = F.broadcast(sizes.filter(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("__salts")))
+    salts = F.coalesce("__salts", F.lit(1))
+    left = rows.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("__salts")
+    right = table.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
 def chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[list[str], list[int]]]:
     """Deal texts into chunks of about `limit` characters: the pieces and the index of each piece's text.
 
-    A text beyond the limit is cut at white space into several pieces (or at the limit, if there is none);
-    null and empty texts give no piece.
+    A text beyond the limit is cut at white space (after it, where the limit lies within a word); its later pieces
+    come first in their chunks. Null and empty texts give no piece.
     """
     pieces: list[str] = []
     owners: list[int] = []
@@ -77,8 +79,11 @@ def chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[
             end = min(len(text), start + limit)
             if end < len(text):
                 cut = max(text.rfind(" ", start + 1, end), text.rfind("\n", start + 1, end))
-                end = cut if cut > start else end
-            if held and held + end - start > limit:
+                if cut <= start:
+                    blank = _BLANK.search(text, end)
+                    cut = blank.start() if blank else len(text)
+                end = cut
+            if held and (start or held + end - start > limit):
                 yield pieces, owners
                 pieces, owners, held = [], [], 0
             pieces.append(text[start:end])

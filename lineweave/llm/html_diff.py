@@ -1,30 +1,31 @@
 """HTML extraction by differencing each page with the nearest page of its host.
 
 Pages of a host with equal lines are one group, and groups are put in the order of (host, URL path) of their first
-page; the partner of a group is its neighbour in that order on the same host. The text lines of both are aligned by longest common subsequence, and lines on that subsequence are
-shared: menus, notices and other furniture repeat from page to page, the article does not. Shared lines are
+page; the partner of a group is the nearer of its two neighbours in that order on the same host: the one with more
+leading path segments in common, then fewer differing characters. The text lines of both are aligned by longest
+common subsequence, and lines on that subsequence are shared: menus, notices and other furniture repeat from page to page, the article does not. Shared lines are
 deleted, except within an element that is marked up as the article (a passage that two articles quote is still
 theirs). Markup that never holds an article is left out before.
 
-Only line hashes travel between pages, and each page meets one partner, whatever the size of its host; large groups
-are salted.
+Only line hashes (64 bits) travel between pages, and each page meets one partner, whatever the size of its host;
+large groups are salted.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import prepare_python, stash
+from .common import join_spread, prepare_python, stash
 
 # Elements without article text, elements that end a line, elements without an end tag.
 DROPPED = frozenset("aside button canvas datalist dialog footer form head iframe input menu nav noscript object script select style svg template textarea title".split())
@@ -42,9 +43,6 @@ _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 # What a page may wrap its article in; other dropped elements hide all they hold.
 WRAPPERS = frozenset("aside footer form header menu nav search".split())
 KEPT, WRAPPED, HIDDEN = 0, 1, 2
-#: Rows of one group of equal pages that one task joins, at least; at most GROUPS groups are larger than salted ones.
-GROUP_ROWS = 100
-GROUPS = 5_000
 
 
 @dataclass
@@ -198,8 +196,9 @@ def _align(x: np.ndarray, y: np.ndarray) -> list[int]:
     return met
 
 
-def line_hashes(lines: list[Line]) -> list[int]:
-    return [zlib.crc32(x.text.encode("utf-8", "surrogatepass")) for x in lines]
+def line_hashes(lines: list[Line]) -> np.ndarray:
+    hashed = np.fromiter((xxhash.xxh64_intdigest(x.text.encode("utf-8", "surrogatepass")) for x in lines), dtype=np.uint64, count=len(lines))
+    return hashed.view(np.int64)
 
 
 def main_text(lines: list[Line], shared: np.ndarray) -> str:
@@ -218,8 +217,15 @@ def url_path(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(path, r"(\d+)", "000000000$1"), r"0*(\d{10})(?!\d)", "$1")
 
 
+def _nearness(path: Column, other: Column) -> Column:
+    """Orders neighbours: leading path segments in common, then the fewer edits between the paths."""
+    a, b = F.split(path, "/"), F.split(other, "/")
+    common = F.size(F.filter(F.sequence(F.lit(1), F.size(a)), lambda k: F.slice(a, 1, k) == F.slice(b, 1, k)))
+    return F.struct(common.alias("common"), (-F.levenshtein(path, other)).alias("edits"))
+
+
 def partners(keys: DataFrame) -> DataFrame:
-    """page_key, partner_key: the previous page of the host in path order, for a host's first page the next one.
+    """page_key, partner_key: the nearer neighbour on the host in path order, the previous one on ties.
 
     keys(page_key, host, path). The order is global (one range partitioning), so that a hot host is spread over
     many tasks; partitions learn the row before their first and after their last from a table of their ends.
@@ -227,13 +233,16 @@ def partners(keys: DataFrame) -> DataFrame:
     ordered = keys.repartitionByRange("host", "path", "page_key").sortWithinPartitions("host", "path", "page_key")
     ordered = stash(ordered.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()), "order")
     own = Window.partitionBy("part").orderBy("at")
-    near = ordered.select("part", "at", "host", "page_key", F.lag(F.struct("host", "page_key")).over(own).alias("before"), F.lead(F.struct("host", "page_key")).over(own).alias("after"))
-    ends = ordered.groupBy("part").agg(F.min_by(F.struct("host", "page_key"), "at").alias("first"), F.max_by(F.struct("host", "page_key"), "at").alias("last"))
+    page = F.struct("host", "path", "page_key")
+    near = ordered.select("part", "host", "path", "page_key", F.lag(page).over(own).alias("before"), F.lead(page).over(own).alias("after"))
+    ends = ordered.groupBy("part").agg(F.min_by(page, "at").alias("first"), F.max_by(page, "at").alias("last"))
     chain = Window.orderBy("part")  # one row for each partition
     ends = ends.select("part", F.lag("last").over(chain).alias("last_before"), F.lead("first").over(chain).alias("first_after"))
-    near = near.join(F.broadcast(ends), "part").select("host", "page_key", F.coalesce("before", "last_before").alias("before"), F.coalesce("after", "first_after").alias("after"))
-    partner = F.when(F.col("before.host") == F.col("host"), F.col("before.page_key")).when(F.col("after.host") == F.col("host"), F.col("after.page_key"))
-    return near.select("page_key", partner.alias("partner_key"))
+    near = near.join(F.broadcast(ends), "part").select("host", "path", "page_key", F.coalesce("before", "last_before").alias("before"), F.coalesce("after", "first_after").alias("after"))
+    before, after = (F.when(F.col(f"{side}.host") == F.col("host"), F.col(side)) for side in ("before", "after"))
+    near = near.select("path", "page_key", before.alias("before"), after.alias("after"))
+    later = F.col("before").isNull() | (_nearness(F.col("path"), F.col("after.path")) > _nearness(F.col("path"), F.col("before.path")))
+    return near.select("page_key", F.when(F.col("after").isNotNull() & later, F.col("after.page_key")).otherwise(F.col("before.page_key")).alias("partner_key"))
 
 
 def known_partners(pages: DataFrame) -> DataFrame:
@@ -248,15 +257,11 @@ def known_partners(pages: DataFrame) -> DataFrame:
     lines = filled.select(F.col("page_key").alias("partner_key"), "lines")
     # a group is the partner of two others at most, so no key of this join is hot
     met = pairs.join(lines, "partner_key").select("page_key", "partner_key", "lines")
-    by_group = groups.select("host", "group", "n", F.col("first.page_key").alias("page_key")).join(met, "page_key").drop("page_key")
-    # copies make hot groups: their rows are salted and the partner is repeated for each salt
-    most = max(GROUP_ROWS, (groups.agg(F.sum("n")).first()[0] or 0) // GROUPS)
-    salts = F.ceil(F.col("n") / most).cast("int")
-    hot = F.broadcast(groups.filter(F.col("n") > most).select("host", "group", salts.alias("salts")))
-    rows = pages.select("page_key", "host", "group").join(hot, ["host", "group"], "left")
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_key"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    dealt = by_group.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
-    return rows.join(dealt, ["host", "group", "salt"], "left").select("page_key", "partner_key", "lines")
+    by_group = groups.select("host", "group", F.col("first.page_key").alias("page_key")).join(met, "page_key").drop("page_key")
+    # copies make hot groups
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    rows = pages.select("page_key", "host", "group")
+    return join_spread(rows, by_group, groups, ["host", "group"], F.col("page_key"), total, "left").select("page_key", "partner_key", "lines")
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -264,15 +269,17 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     Null or empty html gives empty text; a null url belongs to the empty host; a page whose host has no other lines
     than its own has no partner and no shared line; repeated rows are pages of their own, with the same partner; very
-    long pages are aligned whole; other columns are ignored; no rows give no rows.
+    long pages are aligned whole; a null page_id is kept; other columns are ignored; no rows give no rows.
     """
     prepare_python(pages.sparkSession)
-    rows = pages.select("page_id", "url", "html").withColumn("page_key", F.struct("page_id", F.xxhash64("url", "html").alias("h"), F.monotonically_increasing_id().alias("n")))
+    # a key of the content alone, so that a task that runs again finds the same; repeated rows share it
+    content = F.xxhash64("url", F.col("url").isNull(), "html", F.col("html").isNull())
+    rows = pages.select("page_id", "url", "html").withColumn("page_key", F.struct("page_id", content.alias("h")))
 
     @F.pandas_udf("array<long>")
     def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for htmls in batches:
-            yield pd.Series([line_hashes(page_lines(h)) for h in htmls])
+            yield pd.Series([line_hashes(page_lines(h)) for h in htmls], dtype=object)
 
     @F.pandas_udf("text string, n_lines int, n_shared int")
     def extracted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -280,12 +287,12 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             out = []
             for html, other in zip(htmls, others, strict=True):
                 lines = page_lines(html)
-                own = np.array(line_hashes(lines), dtype=np.int64)
+                own = line_hashes(lines)
                 shared = shared_by_lcs(own, np.asarray(other, dtype=np.int64)) if other is not None else np.zeros(len(own), dtype=bool)
                 out.append((main_text(lines, shared), len(lines), int(shared.sum())))
             yield pd.DataFrame(out, columns=["text", "n_lines", "n_shared"])
 
     keys = rows.select("page_key", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), hashes("html").alias("lines"))
-    known = known_partners(stash(keys, "lines")).select("page_key", "lines", F.col("partner_key.page_id").alias("partner_id"))
+    known = known_partners(stash(keys.dropDuplicates(["page_key"]), "lines")).select("page_key", "lines", F.col("partner_key.page_id").alias("partner_id"))
     met = rows.join(known, "page_key").withColumn("r", extracted("html", "lines"))
     return met.select("page_id", "url", "r.text", F.length("r.text").cast("long").alias("n_chars"), "partner_id", "r.n_lines", "r.n_shared")

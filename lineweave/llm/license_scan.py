@@ -33,6 +33,7 @@ FUZZY_NOTICES = {
     "redistribution and use in source and binary forms": "bsd",
     "this work is in the public domain": "public-domain",
 }
+SHORT = 12
 _WORD = regex.compile(WORD_PATTERN)
 
 
@@ -45,8 +46,8 @@ class Match:
 
 
 def allowed_edits(notice: str) -> int:
-    """One edit for each ten characters, at most three."""
-    return min(3, len(notice) // 10)
+    """One edit for each ten characters, at most three; none below SHORT characters, where one edit makes another word."""
+    return min(3, len(notice) // 10) if len(notice) >= SHORT else 0
 
 
 def seeds(notice: str, edits: int) -> list[tuple[int, str]]:
@@ -62,7 +63,7 @@ class NoticeScanner:
         places: dict[str, list[tuple[int, int]]] = {}
         for notice, label in sorted(notices.items()):
             edits = allowed_edits(notice)
-            pattern = regex.compile(rf"(?<![^ ])(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}(?![^ ])", regex.BESTMATCH)
+            pattern = regex.compile(rf"(?<= )(?:{regex.escape(notice, literal_spaces=True)}){{e<={edits}}}(?![^ ])", regex.BESTMATCH)
             for offset, seed in seeds(notice, edits):
                 places.setdefault(seed, []).append((len(self.rules), offset))
             self.rules.append((notice, label, edits, pattern))
@@ -73,12 +74,15 @@ class NoticeScanner:
 
     def search(self, joined: str) -> list[Match]:
         """Matches in a text of words joined by one space, leftmost first; matches of a notice do not overlap."""
+        # a space before the text and one character more on both sides of a window: the pattern looks at the word's
+        # edge, and takes no inserted character where a search starts
+        spaced = f" {joined}"
         windows: dict[int, list[list[int]]] = {}
         for last, (size, where) in self.automaton.iter(joined):
             for rule, offset in where:
                 notice, _, edits, _ = self.rules[rule]
-                begin = last - size + 1 - offset
-                window = [max(0, begin - edits), min(len(joined), begin + len(notice) + edits)]
+                begin = last - size + 2 - offset
+                window = [max(0, begin - edits - 1), min(len(spaced), begin + len(notice) + edits + 1)]
                 held = windows.setdefault(rule, [])
                 if held and window[0] <= held[-1][1]:
                     held[-1] = [min(held[-1][0], window[0]), max(held[-1][1], window[1])]
@@ -88,10 +92,9 @@ class NoticeScanner:
         for rule, held in windows.items():
             _, label, _, pattern = self.rules[rule]
             for begin, end in held:
-                # the pattern looks one character beyond the window for the word's edge
-                for m in pattern.finditer(joined, begin, min(len(joined), end + 1)):
-                    if (m.start() == 0 or joined[m.start() - 1] == " ") and (m.end() == len(joined) or joined[m.end()] == " "):
-                        found.append(Match(label, m.start(), m.end(), sum(m.fuzzy_counts)))
+                for m in pattern.finditer(spaced, begin, end):
+                    if spaced[m.start() - 1 : m.start()] == " " and (m.end() == len(spaced) or spaced[m.end()] == " "):
+                        found.append(Match(label, m.start() - 1, m.end() - 1, sum(m.fuzzy_counts)))
         return sorted(found, key=lambda m: (m.start, m.end, m.label))
 
 

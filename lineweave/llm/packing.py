@@ -23,7 +23,7 @@ from .word_tokens import WordTokens
 
 CAPACITY = 2048
 END_ID = 1
-#: Rows of one length that one task ranks; salts split longer groups.
+#: Rows of one length that one task ranks, about; salts split longer groups.
 RANK_ROWS = 20_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -115,18 +115,20 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
 
     Null and empty texts are one token (the end id); repeated rows and null ids are packed like any other; very
     long texts become many pieces; other columns are ignored; no rows give no rows. Equal lengths are
-    interchangeable: ties in rank go by salt, doc_id and start.
+    interchangeable: ties in rank go by doc_id and start within a group.
     """
-    pieces = stash(tokenize_pieces(docs, vocabulary, capacity, end_id), "pieces")
-    total = pieces.count()
-    salts = max(1, -(-total // RANK_ROWS)) * 4
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
+    pieces = tokenize_pieces(docs, vocabulary, capacity, end_id)
+    # deal: a number of its own for each piece, read from the stored table ever after
+    pieces = stash(pieces.withColumn("deal", F.xxhash64(F.monotonically_increasing_id())), "pieces")
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    slots = slots_of(shortest_pack_first(histogram, capacity)).sort_values(["length", "first_rank"])
+    # pieces of a length are ranked in as many groups as its count asks for; at most `capacity` rows are broadcast
+    per_length = docs.sparkSession.createDataFrame([(k, -(-n // RANK_ROWS)) for k, n in histogram.items()], "length long, salts long")
+    salted = pieces.join(F.broadcast(per_length), "length").withColumn("salt", F.pmod("deal", "salts")).drop("salts")
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     earlier = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = stash(counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))), "lengths")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    slots = slots_of(shortest_pack_first(histogram, capacity)).sort_values(["length", "first_rank"])
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start")) - 1
+    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "deal")) - 1
     ranked = salted.withColumn("rank", rank).join(counts.select("length", "salt", "before"), ["length", "salt"])
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before"))
 

@@ -83,12 +83,12 @@ from docs left join places using (r) left join names using (r)
 """
 
 OP7_SQL = """
-with good as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as double)) as v from embeddings
+with good as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as double)) as v from embeddings
               where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-scored as (select a.vec_id as query_id, b.vec_id as vec_id, cast(list_inner_product(a.v, b.v) as bigint) as score
-           from good a join good b on a.vec_id <> b.vec_id and len(a.v) = len(b.v) where a.vec_id % 100 = 0)
+scored as (select a.r as q, a.vec_id as query_id, b.vec_id as vec_id, b.r as r, cast(list_inner_product(a.v, b.v) as bigint) as score
+           from good a join good b on a.r <> b.r and len(a.v) = len(b.v) where a.vec_id % 100 = 0)
 select query_id, cast(rank as integer) as rank, vec_id, score
-from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 10
+from (select *, row_number() over (partition by q order by score desc, vec_id, r) as rank from scored) where rank <= 10
 """
 
 

@@ -68,8 +68,11 @@ def assign_shards(docs: DataFrame, shards: list[str], key: str = "doc_id", size:
 
 
 def write_shards(docs: DataFrame, shards: list[str], path: str, key: str = "doc_id", salts: int = 16) -> None:
-    """Write whole rows into one folder for each shard; `salts` tasks share a shard, so that a hot key splits."""
+    """Write whole rows into one folder for each shard; `salts` tasks share a shard, so that a hot key splits.
+
+    The task follows from the row's values alone, so that a retried task writes the same rows.
+    """
     table = fill_table(shards)
     lookup = docs.sparkSession.createDataFrame([(slot, shards[i]) for slot, i in enumerate(table)], "__slot int, __shard string")
     placed = docs.withColumn("__slot", slot_of(F.col(key))).join(F.broadcast(lookup), "__slot").drop("__slot")
-    placed.repartition(len(shards) * salts, "__shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts))).write.partitionBy("__shard").parquet(path)
+    placed.repartition(len(shards) * salts, "__shard", F.pmod(F.xxhash64(*docs.columns), F.lit(salts))).write.partitionBy("__shard").parquet(path)

@@ -18,15 +18,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare_python, stash
+from .common import join_spread, prepare_python, stash
 
 BITS, SEED, SHINGLE, RADIUS = 64, 42, 3, 3
 #: Distance within which one half of two linked fingerprints lies.
 HALF_RADIUS = RADIUS // 2
 #: Distinct fingerprints that shape the upper trees, and those that a shard should hold.
-SAMPLE_ROWS = 4_096
+SAMPLE_ROWS = 16_384
 SHARD_ROWS = 16_384
-MAX_SHARDS = 1_024
+#: Shards of a tree: the bound of what is broadcast. Beyond, shards are dealt into blocks, and pairs of blocks meet.
+MAX_SHARDS = 4_096
 LEAF = 128
 ROUNDS = 60
 
@@ -48,7 +49,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def with_fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash and fp (the fingerprint as a signed long) of every row."""
+    """doc_id, text_hash, fp (the fingerprint as a signed long) and row (a number of its own) of every row."""
     prepare_python(docs.sparkSession)
 
     @F.pandas_udf("long")
@@ -57,7 +58,7 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
             found = np.fromiter((fingerprint(t) for t in texts), dtype=np.uint64, count=len(texts))
             yield pd.Series(found.view(np.int64))
 
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprints("text").alias("fp"))
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), fingerprints("text").alias("fp"), F.monotonically_increasing_id().alias("row"))
 
 
 def halves(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,25 +156,49 @@ def shard_links(fps: np.ndarray, home: np.ndarray, half: int) -> np.ndarray:
     return parent
 
 
+def deal(fps: np.ndarray, trees: list[VantageTree], blocks: int) -> pd.DataFrame:
+    """half, shard, home_block, visit_block, fp, home: the groups that each fingerprint takes part in.
+
+    A fingerprint is at home in one shard of each tree and visits all that may hold a neighbour. With more than one
+    block a shard's home rows lie in one home block each, and its visitors in one visitor block each: every home
+    block meets every visitor block, so that a group keeps its size whatever the shard holds.
+    """
+    block = (fps.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % blocks
+    columns: list[list[np.ndarray]] = [[] for _ in range(6)]
+
+    def add(half: int, leaf: int, home_block: np.ndarray | int, visit_block: np.ndarray | int, rows: np.ndarray, home: bool) -> None:
+        for column, value in zip(columns, (half, leaf, home_block, visit_block, fps[rows], home), strict=True):
+            column.append(np.broadcast_to(value, len(rows)))
+
+    for half, points in enumerate(halves(fps)):
+        at_home = np.zeros(len(fps), dtype=np.int64)
+        for leaf, rows in trees[half].visits(points, 0):
+            at_home[rows] = leaf
+        for leaf, rows in trees[half].visits(points, HALF_RADIUS):
+            home = at_home[rows] == leaf
+            for other in range(blocks):
+                # as a home row, against every visitor block; as a visitor, in every home block but where it is at home
+                add(half, leaf, block[rows[home]], other, rows[home], True)
+                visits = rows[~(home & (block[rows] == other))]
+                add(half, leaf, other, block[visits], visits, False)
+    names = ("half", "shard", "home_block", "visit_block", "fp", "home")
+    out = pd.DataFrame({name: np.concatenate(column) if column else [] for name, column in zip(names, columns, strict=True)})
+    return out.astype({"half": "int32", "shard": "int32", "home_block": "int32", "visit_block": "int32", "fp": "int64", "home": "bool"})
+
+
 def linked_fingerprints(distinct: DataFrame) -> DataFrame:
     """a, b: links between distinct fingerprints of distinct(fp); their closure is that of all pairs in the radius."""
     spark = distinct.sparkSession
     n = distinct.count()
     sample = np.array([r["fp"] for r in distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE_ROWS).collect()], dtype=np.int64)
     shards = int(min(MAX_SHARDS, max(1, 1 << int(np.ceil(np.log2(max(1, n / SHARD_ROWS)))))))
+    blocks = max(1, -(-n // (MAX_SHARDS * SHARD_ROWS)))
     trees = [VantageTree(points, max(1, len(sample) // (2 * shards)), shards) for points in halves(sample)]
     held = spark.sparkContext.broadcast(trees)
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps = batch["fp"].to_numpy()
-            for half, points in enumerate(halves(fps)):
-                tree = held.value[half]
-                at_home = np.zeros(len(fps), dtype=np.int64)
-                for leaf, rows in tree.visits(points, 0):
-                    at_home[rows] = leaf
-                for leaf, rows in tree.visits(points, HALF_RADIUS):
-                    yield pd.DataFrame({"half": np.int32(half), "shard": np.int32(leaf), "fp": fps[rows], "home": at_home[rows] == leaf})
+            yield deal(batch["fp"].to_numpy(), held.value, blocks)
 
     def search(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("fp")
@@ -182,8 +207,8 @@ def linked_fingerprints(distinct: DataFrame) -> DataFrame:
         linked = roots != np.arange(len(fps))
         return pd.DataFrame({"a": fps[roots[linked]], "b": fps[linked]})
 
-    dealt = distinct.mapInPandas(deal, "half int, shard int, fp long, home boolean")
-    return dealt.groupBy("half", "shard").applyInPandas(search, "a long, b long")
+    rows = distinct.mapInPandas(dealt, "half int, shard int, home_block int, visit_block int, fp long, home boolean")
+    return rows.groupBy("half", "shard", "home_block", "visit_block").applyInPandas(search, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -207,17 +232,16 @@ def labelled(docs: DataFrame) -> DataFrame:
     label names the component and is never null; component_id is its smallest doc_id, null if it has none.
     """
     rows = stash(with_fingerprint(docs), "fingerprints")
-    distinct = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    distinct = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct")
     labels = components(linked_fingerprints(distinct.select("fp")))
     # the smallest id of each component; fingerprints without links are their own component
     named = distinct.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     by_fp = stash(named.join(smallest, "label").select("fp", "label", "component_id"), "components")
-    # copies make hot fingerprints: their rows are salted and the other side is repeated for each salt
-    salts = 8
-    left = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    right = by_fp.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return left.join(right, ["fp", "salt"]).select("doc_id", "text_hash", "fp", "label", "component_id")
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    # copies make hot fingerprints
+    found = join_spread(rows, by_fp, distinct.select("fp", "n"), ["fp"], F.col("row"), total)
+    return found.select("doc_id", "text_hash", "fp", "label", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lineweave.llm import simhash_dedup
+from lineweave.llm import decontaminate, simhash_dedup
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 SMALL = "/root/testdata/sf0.001"
@@ -37,3 +37,31 @@ def test_stages_decide_by_row(spark):
     clean = stages["decontamination"](spark, docs, SMALL)
     assert clean.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in clean.collect()), key=order) == sorted(rows[:-2], key=order)
+
+
+def test_run_keeps_what_every_stage_keeps(spark):
+    """run() against the operators one by one: what each finds in its input decides who goes on."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    stages, kept = dict(corpus_pipeline.STAGES), docs
+    for name, stage in list(stages.items())[:-1]:
+        before = kept
+        kept = spark.createDataFrame(stage(spark, before, SMALL).collect(), docs.schema)
+        gone = {r[0] for r in before.select("doc_id").collect()} - {r[0] for r in kept.select("doc_id").collect()}
+        if name == "simhash_dedup":
+            assert gone == {r["doc_id"] for r in simhash_dedup.near_duplicates(before).collect() if r["component_id"] != r["doc_id"]}
+        if name == "decontamination":
+            benchmark = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+            assert gone == {r["doc_id"] for r in decontaminate.decontaminate(before, benchmark).filter("contaminated").collect()}
+    pieces = corpus_pipeline.run(spark, SMALL).collect()
+    assert {r["doc_id"] for r in pieces} == {r[0] for r in kept.select("doc_id").collect()}
+    assert sum(r["start"] == 0 for r in pieces) == kept.count()
+
+
+def test_stages_on_empty_tables_and_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(40)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
+        odd = docs.withColumns({c: F.lit("clash") for c in ("label", "fp", "row", "words", "pos", "score", "language", "n")})
+        got = stage(spark, odd, SMALL)
+        assert name == "packing" or got.columns == odd.columns
+        assert got.count() > 0
