@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .keys import preferring_local
+from .rounds import hit_counts
 
 
 def fill_action(value: Column, old: Column, is_formula: Column) -> Column:
@@ -41,12 +41,14 @@ def compare_fills(ours: DataFrame, theirs: DataFrame, log: DataFrame) -> DataFra
     """
     left = ours.select(*[F.col(c).alias(f"a_{c}") for c in ("id", "rel", "sheet", "row", "key", "text", "translation", "is_formula")])
     right = theirs.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "rel", "sheet", "row", "key", "text", "translation", "is_formula")])
-    keyed = left.filter("a_key <> ''").join(right, F.col("a_key") == F.col("b_key"))
-    keyed = preferring_local(keyed, "a_id", (F.col("a_rel") == F.col("b_rel")) & (F.col("a_sheet") == F.col("b_sheet")))
-    placed = left.filter("a_key = ''").join(right, (F.col("a_rel") == F.col("b_rel")) & (F.col("a_sheet") == F.col("b_sheet")) & (F.col("a_row") == F.col("b_row")))
-    met = keyed.unionByName(placed)
-    one = met.groupBy("a_id").agg(F.count("*").alias("partners"), F.min("b_id").alias("b_id"))
-    partner = one.filter("partners = 1").select("a_id", "b_id").join(right.select("b_id", "b_text", "b_translation", "b_is_formula"), "b_id")
+    # partners are counted by key, by key and sheet, and by place, so that a frequent key pairs no rows
+    single = lambda *by: right.groupBy(*[F.col(f"b_{c}").alias(f"a_{c}") for c in by]).agg(F.count("*").alias("held"), F.min("b_id").alias("b_id"))
+    keyed = left.filter("a_key <> ''").select("a_id", "a_key", "a_rel", "a_sheet")
+    local = keyed.join(single("key", "rel", "sheet"), ["a_key", "a_rel", "a_sheet"]).select("a_id", "held", "b_id")
+    anywhere = keyed.join(local.select("a_id"), "a_id", "left_anti").join(single("key"), "a_key").select("a_id", "held", "b_id")
+    placed = left.filter("a_key = ''").select("a_id", "a_rel", "a_sheet", "a_row").join(single("rel", "sheet", "row"), ["a_rel", "a_sheet", "a_row"]).select("a_id", "held", "b_id")
+    one = local.unionByName(anywhere).unionByName(placed)
+    partner = one.filter("held = 1").select("a_id", "b_id").join(right.select("b_id", "b_text", "b_translation", "b_is_formula"), "b_id")
     rows = left.join(partner, "a_id", "left").join(log.select(F.col("rel").alias("a_rel"), F.col("sheet").alias("a_sheet"), F.col("row").alias("a_row"), F.col("key").alias("l_key"), "old", "new", "action"), ["a_rel", "a_sheet", "a_row"], "left")
     proven = F.col("new").eqNullSafe(F.col("a_translation")) & F.col("l_key").eqNullSafe(F.col("a_key"))
     verdict = (
@@ -101,10 +103,51 @@ def unrecommended_sources(source: DataFrame, decisions: DataFrame) -> DataFrame:
     return left
 
 
-def top_candidates(pairs: DataFrame, shown: int = 3) -> DataFrame:
-    """For rows with at most `shown` candidates: the translations in read order, side by side."""
-    from pyspark.sql.window import Window
+def row_counts(baseline: DataFrame, source: DataFrame, key: str = "text") -> DataFrame:
+    """baseline_id, n, missing, variants of baseline rows with a source; sources are counted by text, not by pair."""
+    hits = hit_counts(source.filter(F.col(key) != ""), key)
+    return baseline.select("baseline_id", key).join(hits, key).select("baseline_id", "n", "missing", "variants")
 
-    row = Window.partitionBy("baseline_id")
-    ranked = pairs.withColumn("rn", F.row_number().over(row.orderBy("source_id"))).withColumn("n", F.count("*").over(row)).filter(F.col("n") <= shown)
-    return ranked.groupBy("baseline_id").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("rn") == i, F.col("korean_key"))).alias(f"korean_{i}") for i in range(1, shown + 1)])
+
+def top_candidates(baseline: DataFrame, source: DataFrame, shown: int = 3, key: str = "text") -> DataFrame:
+    """For rows with at most `shown` candidates: the translations in read order, side by side.
+
+    Texts with more sources go by their count before any row is paired.
+    """
+    sizes = source.filter(F.col(key) != "").groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") <= shown)
+    held = source.join(sizes, key).groupBy(key, "n").agg(F.sort_array(F.collect_list(F.struct("source_id", "korean_key"))).alias("held"))
+    columns = [F.get("held", F.lit(i))["korean_key"].alias(f"korean_{i + 1}") for i in range(shown)]
+    return baseline.select("baseline_id", key).join(held, key).select("baseline_id", "n", *columns)
+
+
+def distinct_variants(baseline: DataFrame, source: DataFrame, structure: DataFrame, key: str = "text") -> DataFrame:
+    """baseline_id, korean_key: the translations of a row's candidates and of its structure items(baseline_id, korean_key)."""
+    by_text = source.filter((F.col("korean_key") != "") & (F.col(key) != "")).select(key, "korean_key").distinct()
+    rows = baseline.select("baseline_id", key).join(by_text, key).select("baseline_id", "korean_key")
+    return rows.union(structure.filter("korean_key <> ''").select("baseline_id", "korean_key")).distinct()
+
+
+def unresolved_rows(decisions: DataFrame, structure: DataFrame, pending: DataFrame) -> DataFrame:
+    """baseline_id, status of rows without a recommendation, a structure item or a pending structure item."""
+    open_rows = decisions.filter("source_id is null").select("baseline_id", "status")
+    taken = structure.select("baseline_id").unionByName(pending.select("baseline_id")).distinct()
+    return open_rows.join(taken, "baseline_id", "left_anti")
+
+
+def unmatched_sources(source: DataFrame, baseline: DataFrame, key: str = "text") -> DataFrame:
+    """source_id of sources whose text no baseline row has."""
+    return source.join(baseline.select(key).distinct(), key, "left_anti").select("source_id")
+
+
+def unrecommended_reasons(source: DataFrame, baseline: DataFrame, decisions: DataFrame, partial: DataFrame, pending: DataFrame) -> DataFrame:
+    """source_id, reason of the sources that no recommendation uses.
+
+    partial(source_id): only some parts of a split are used; pending(source_id, reason): structure items that wait.
+    """
+    left = unrecommended_sources(source, decisions)
+    found = baseline.select("text").distinct().withColumn("found", F.lit(True))
+    waits = pending.groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("waits"))
+    part = partial.select("source_id").distinct().withColumn("part", F.lit(True))
+    rows = left.join(found, "text", "left").join(waits, "source_id", "left").join(part, "source_id", "left")
+    reason = F.when(F.col("part"), "partly_split").when(F.col("waits").isNotNull(), F.concat(F.lit("structure: "), "waits")).when(F.col("found"), "rules_not_met").otherwise("not_found")
+    return rows.select("source_id", reason.alias("reason"))

@@ -1,27 +1,35 @@
 """Rounds of the lookup: candidates by a key, scored by the three lines before and after, then one decision a row.
 
-All occurrences on both sides take part. To keep frequent lines from making rows times rows pairs, rows that agree
-in key, context and translation are one case each; cases are paired and decided, and rows get their case's decision.
+All occurrences on both sides take part. Candidates are counted by text; rows that agree in text and context are one
+case, and a case finds its best source by pairs or, for frequent lines, by the positions on which contexts agree.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..cluster import settle
+from ..cluster import join_spread, settle
 
 SIDE = 3
+#: Forms with so many different source contexts are paired with their rows; beyond, they go by agreeing positions.
+PAIRED = 256
+CASE = ["form", "previous", "following"]
 UNMATCHED, ALL_MISSING, UNIQUE, PENDING, CONTEXT, FUZZY = "unmatched", "all_missing", "unique", "pending", "context", "fuzzy"
 
 
-def with_context(rows: DataFrame, key: str = "text") -> DataFrame:
-    """previous and following: up to three lines with a key in the same sheet, nearest first."""
+def with_context(rows: DataFrame, key: str = "text", hashed: bool = False) -> DataFrame:
+    """previous and following: up to three lines with a key in the same sheet, nearest first.
+
+    hashed: 64-bit hashes of the lines, which is all that a comparison needs; six lines a row are much to shuffle.
+    """
     sheet = Window.partitionBy("path", "sheet").orderBy("row")
-    filled = rows.filter(F.col(key) != "")
-    before = F.reverse(F.collect_list(key).over(sheet.rowsBetween(-SIDE, -1)))
-    return filled.withColumn("previous", before).withColumn("following", F.collect_list(key).over(sheet.rowsBetween(1, SIDE)))
+    filled = rows.filter(F.col(key) != "").withColumn("__line", F.xxhash64(key) if hashed else F.col(key))
+    before = F.reverse(F.collect_list("__line").over(sheet.rowsBetween(-SIDE, -1)))
+    return filled.withColumn("previous", before).withColumn("following", F.collect_list("__line").over(sheet.rowsBetween(1, SIDE))).drop("__line")
 
 
 def context_with_skips(rows: DataFrame, id_name: str) -> DataFrame:
@@ -63,57 +71,105 @@ def candidate_pairs(baseline: DataFrame, source: DataFrame, key: str = "text") -
 
 
 def scored_pairs(baseline: DataFrame, source: DataFrame, key: str = "text") -> DataFrame:
-    b = with_context(baseline, key).select("baseline_id", F.col(key).alias("key"), "previous", "following")
-    s = with_context(source, key).select("source_id", F.col(key).alias("key"), "korean_key", F.col("previous").alias("s_previous"), F.col("following").alias("s_following"))
+    b = with_context(baseline, key, hashed=True).select("baseline_id", F.col(key).alias("key"), "previous", "following")
+    s = with_context(source, key, hashed=True).select("source_id", F.col(key).alias("key"), "korean_key", F.col("previous").alias("s_previous"), F.col("following").alias("s_following"))
     return context_scores(b.join(s, "key"))
 
 
 def hit_counts(pairs: DataFrame, *by: str) -> DataFrame:
-    """n, missing, variants of the candidates; `weight` rows where a candidate stands for several."""
-    weight = F.col("weight") if "weight" in pairs.columns else F.lit(1)
+    """n, missing, variants of the candidates."""
     return pairs.groupBy(*by).agg(
-        F.sum(weight).cast("long").alias("n"), F.sum(F.when(F.col("korean_key") == "", weight).otherwise(0)).cast("long").alias("missing"),
+        F.count("*").alias("n"), F.sum(F.when(F.col("korean_key") == "", 1).otherwise(0)).cast("long").alias("missing"),
         F.countDistinct(F.when(F.col("korean_key") != "", F.col("korean_key"))).alias("variants"),
     )
 
 
-def decide(pairs: DataFrame, *by: str) -> DataFrame:
-    """n, missing, variants, source_id, status of each group of scored pairs.
+def _best_of_few(cases: DataFrame, sources: DataFrame) -> DataFrame:
+    """CASE, score, best_id, lo, hi: cases paired with the source cases of their form."""
+    equal = F.col("previous_equal") + F.col("following_equal")
+    scored = context_scores(cases.join(sources, "form")).withColumn("score", F.col("full_sides") * 10 + equal)
+    by_score = scored.groupBy(*CASE, "score").agg(F.min("source_id").alias("best_id"), F.min("korean_key").alias("lo"), F.max("korean_key").alias("hi"))
+    return _at_top(by_score)
+
+
+def _at_top(by_score: DataFrame) -> DataFrame:
+    top = by_score.groupBy(*CASE).agg(F.max(F.struct("score", "best_id", "lo", "hi")).alias("top"))
+    return top.select(*CASE, "top.*")
+
+
+def _agreements(rows: DataFrame, previous: str, following: str) -> DataFrame:
+    """One row for each set of context positions that a row could agree on: score, mask and a hash of the lines there."""
+    places = range(2 * SIDE)
+    side = (1 << SIDE) - 1
+    scores = F.array(*[F.lit(10 * ((m & side == side) + (m >> SIDE == side)) + m.bit_count()) for m in range(1 << 2 * SIDE)])
+    rows = rows.withColumn("__at", F.array(*[F.get(F.col(c), F.lit(k)) for c in (previous, following) for k in range(SIDE)]))
+    rows = rows.withColumn("__known", reduce(lambda x, y: x + y, [F.when(F.get("__at", F.lit(i)).isNull(), 0).otherwise(1 << i) for i in places]))
+    masks = F.filter(F.sequence(F.lit(0), F.lit((1 << 2 * SIDE) - 1)), lambda m: m.bitwiseAND(F.col("__known")) == m)
+    rows = rows.withColumn("mask", F.explode(masks))
+    lines = F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.get("__at", F.lit(i))).otherwise(0) for i in places])
+    return rows.withColumn("lines", F.xxhash64(lines)).withColumn("score", F.get(scores, "mask")).drop("__at", "__known")
+
+
+def _best_of_many(cases: DataFrame, sources: DataFrame) -> DataFrame:
+    """As _best_of_few(), without pairs: each side is listed by the sets of positions it may agree on.
 
-    Among translated candidates the best context wins, the smallest source_id on ties; a tie between different
-    translations, or several translations without any full side, stays pending.
+    The best source agrees on one of 64 sets of positions and no larger one, so that the best set with any source
+    names it; sources are summed up by (form, set, lines there) first, and no case meets more than 64 of the sums.
     """
-    counts = hit_counts(pairs, *by)
-    score = F.struct("full_sides", (F.col("previous_equal") + F.col("following_equal")).alias("equal"))
-    translated = pairs.filter("korean_key <> ''").select(*by, "source_id", "korean_key", score.alias("score"))
-    top = translated.groupBy(*by).agg(F.max("score").alias("top"))
-    # ties: a second pass over the best alone; both aggregations share the partitioning of the keys
-    best = translated.join(top, list(by)).filter(F.col("score") == F.col("top")).groupBy(*by).agg(F.min("source_id").alias("best_id"), F.countDistinct("korean_key").alias("best_variants"), F.first("top").alias("top"))
-    joined = counts.join(best, list(by), "left")
-    full = F.col("top.full_sides")
-    status = F.when(F.col("variants") == 0, ALL_MISSING).when(F.col("variants") == 1, UNIQUE).when((full == 0) | (F.col("best_variants") > 1), PENDING).otherwise(CONTEXT)
-    joined = joined.withColumn("status", status)
-    return joined.select(*by, "n", "missing", "variants", F.when(F.col("status").isin(UNIQUE, CONTEXT), F.col("best_id")).alias("source_id"), "status")
+    sums = _agreements(sources, "s_previous", "s_following").groupBy("form", "mask", "lines").agg(F.min("source_id").alias("best_id"), F.min("korean_key").alias("lo"), F.max("korean_key").alias("hi"))
+    met = _agreements(cases, "previous", "following").join(sums, ["form", "mask", "lines"])
+    by_score = met.groupBy(*CASE, "score").agg(F.min("best_id").alias("best_id"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return _at_top(by_score)
+
+
+def best_by_context(cases: DataFrame, candidates: DataFrame) -> DataFrame:
+    """form, previous, following, best_id, tied, full_sides: the translated candidate with the best context of each case.
+
+    cases(form, previous, following) are distinct; candidates(form, source_id, korean_key, s_previous, s_following).
+    The smallest source_id wins among equals; tied tells that they have different translations. Forms with up to
+    PAIRED source cases are paired, the others go by sets of agreeing positions.
+    """
+    translated = candidates.filter("korean_key <> ''")
+    sources = settle(translated.groupBy("form", "s_previous", "s_following", "korean_key").agg(F.min("source_id").alias("source_id")), "sources")
+    many = settle(sources.groupBy("form").agg(F.count("*").alias("held")).filter(F.col("held") > PAIRED).select("form"), "frequent")
+    best = _best_of_few(cases, sources.join(many, "form", "left_anti"))
+    if many.limit(1).count():
+        best = best.unionByName(_best_of_many(cases.join(many, "form", "left_semi"), sources.join(many, "form", "left_semi")))
+    return best.select(*CASE, "best_id", (F.col("lo") != F.col("hi")).alias("tied"), F.floor(F.col("score") / 10).cast("int").alias("full_sides"))
+
+
+def decide(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """baseline_id, n, missing, variants, source_id, status of every row of rows(baseline_id, form, previous, following).
+
+    A form is what rows with the same candidates share (their text); candidates(form, source_id, korean_key,
+    s_previous, s_following) are counted by form, and rows that agree in form and context are one case, so that a
+    frequent line makes neither rows times rows nor cases times cases. Among translated candidates the best context
+    wins, the smallest source_id on ties; a tie between different translations, or several translations without any
+    full side, stays pending.
+    """
+    rows, candidates = settle(rows, "rows"), settle(candidates, "candidates")
+    counts = hit_counts(candidates, "form")
+    best = best_by_context(rows.select(*CASE).distinct(), candidates)
+    status = F.when(F.col("n").isNull(), UNMATCHED).when(F.col("variants") == 0, ALL_MISSING).when(F.col("variants") == 1, UNIQUE).when((F.col("full_sides") == 0) | F.col("tied"), PENDING).otherwise(CONTEXT)
+    sizes = settle(rows.groupBy(*CASE).agg(F.count("*").alias("n")), "cases")
+    cases = sizes.drop("n").join(counts, "form", "left").join(best, CASE, "left").withColumn("status", status)
+    picked = F.when(F.col("status").isin(UNIQUE, CONTEXT), F.col("best_id"))
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n", "missing", "variants")]
+    cases = cases.select(*CASE, *zero, picked.alias("source_id"), "status")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    return join_spread(rows, cases, sizes, CASE, F.col("baseline_id"), total).select("baseline_id", "n", "missing", "variants", "source_id", "status")
 
 
 def match_round(baseline: DataFrame, source: DataFrame, key: str = "text") -> DataFrame:
     """baseline_id, n, missing, variants, source_id, status of every baseline row with a key."""
-    b = with_context(baseline, key).select("baseline_id", F.col(key).alias("key"), "previous", "following")
-    b = b.withColumn("case", F.struct("key", "previous", "following"))
-    s = with_context(source, key).groupBy(F.col(key).alias("key"), F.col("previous").alias("s_previous"), F.col("following").alias("s_following"), "korean_key")
-    s = s.agg(F.min("source_id").alias("source_id"), F.count("*").alias("weight"))
-    cases = b.select("case").distinct().select("case", "case.*")
-    decided = decide(context_scores(cases.join(s, "key")), "case")
-    out = b.select("baseline_id", "case").join(decided, "case", "left")
-    return out.select("baseline_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("missing", F.lit(0)).cast("long").alias("missing"), F.coalesce("variants", F.lit(0)).cast("long").alias("variants"), "source_id", F.coalesce("status", F.lit(UNMATCHED)).alias("status"))
-
-
-def fill_unsettled(first: DataFrame, baseline: DataFrame, source: DataFrame, key: str, match_type: str) -> DataFrame:
-    """Later round: rows that `first` did not settle are decided again by another key; settled rows stay."""
-    settled = first.filter("source_id IS NOT NULL")
-    open_rows = first.filter("source_id IS NULL")
-    again = match_round(baseline, source, key).join(open_rows.select("baseline_id"), "baseline_id", "left_semi")
-    again = settle(again.withColumn("match_type", F.lit(match_type)), match_type)
-    # rows whose new key is empty, or without any new hit, keep their earlier outcome
-    kept = open_rows.join(again.filter("n > 0").select("baseline_id"), "baseline_id", "left_anti")
-    return settled.unionByName(kept).unionByName(again.filter("n > 0"))
+    return decide(with_form(baseline, key), keyed_candidates(source, key))
+
+
+def with_form(baseline: DataFrame, key: str, form: str | None = None) -> DataFrame:
+    """baseline_id, form, previous, following: contexts are read from `key`, candidates belong to `form`."""
+    return with_context(baseline, key, hashed=True).select("baseline_id", F.col(form or key).alias("form"), "previous", "following")
+
+
+def keyed_candidates(source: DataFrame, key: str) -> DataFrame:
+    """form, source_id, korean_key, s_previous, s_following of source rows with a key, which is their form."""
+    return with_context(source, key, hashed=True).select(F.col(key).alias("form"), "source_id", "korean_key", F.col("previous").alias("s_previous"), F.col("following").alias("s_following"))

@@ -103,17 +103,13 @@ def lookup_minimal(spark, d):
 
     Sources are counted by text first, so that a frequent line costs one row a side, not the product.
     """
-    hits = reports_counts(_src(spark, d))
+    hits = rounds.hit_counts(_src(spark, d), "text")
     rows = _base(spark, d).select("baseline_id", "text").join(hits, "text", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     status = F.when(F.col("n").isNull(), "unmatched").when(F.col("variants") == 0, "all_missing").when(F.col("variants") == 1, "unique").otherwise("several")
     return rows.select("baseline_id", zero("n"), zero("missing"), zero("variants"), status.alias("status"))
 
 
-def reports_counts(source: DataFrame) -> DataFrame:
-    return rounds.hit_counts(source, "text")
-
-
 @query("j1_exact_round", f"with {SIDES} select baseline_id, source_id from base join src using (text)")
 def j1(spark, d):
     return rounds.candidate_pairs(_base(spark, d), _src(spark, d), "text").select("baseline_id", "source_id")
@@ -154,20 +150,46 @@ def d1(spark, d):
     return rounds.match_round(_base(spark, d), _src(spark, d), "text")
 
 
-@query("w7_best_candidate", f"with {SIDES}, {_pairs('text')} select baseline_id, best_id, tied from best")
+@query("w7_best_candidate", f"with {SIDES}, {_pairs('text')} select baseline_id, best_id, tied > 1 as tied, cast(fs as integer) as full_sides from best")
 def w7(spark, d):
-    pairs = rounds.scored_pairs(_base(spark, d), _src(spark, d)).filter("korean_key <> ''")
-    order = Window.partitionBy("baseline_id").orderBy(F.desc("full_sides"), F.desc(F.col("previous_equal") + F.col("following_equal")))
-    top = pairs.withColumn("r", F.rank().over(order)).filter("r = 1")
-    return top.groupBy("baseline_id").agg(F.min("source_id").alias("best_id"), F.countDistinct("korean_key").alias("tied"))
+    rows = rounds.with_form(_base(spark, d), "text")
+    best = rounds.best_by_context(rows.select(*rounds.CASE).distinct(), rounds.keyed_candidates(_src(spark, d), "text"))
+    return rows.join(best, rounds.CASE).select("baseline_id", "best_id", "tied", "full_sides")
+
 
+#: Structure items of a baseline: every row that a run of two script lines makes up.
+_MERGED = f"""parts as (select source_id, sheet, row, korean_key, {_comparison('original')} as k from src), merged as (select distinct b.baseline_id, x.korean_key || ' ' || y.korean_key as korean_key
+from parts x join parts y on y.sheet = x.sheet and y.row = x.row + 1 join (select baseline_id, {_comparison('original')} as k from twins) b on b.k = x.k || y.k where x.k <> '' and y.k <> '' and x.korean_key <> '' and y.korean_key <> '')"""
+#: Baseline rows beside the others: every third script line joined with the one after it.
+_TWINS = """twins as (select a.source_id + 500000 as baseline_id, a.text || b.text as text, a.text || b.text as original from src a join src b on b.sheet = a.sheet and b.row = a.row + 1 where a.row % 3 = 0
+union all select baseline_id, text, original from base)"""
+
+
+def _twins(spark, d) -> DataFrame:
+    """The baseline, and lines that merge two script lines."""
+    src = _src(spark, d)
+    after = src.select("path", "sheet", (F.col("row") - 1).alias("row"), F.col("text").alias("next"))
+    both = src.filter("row % 3 = 0").join(after, ["path", "sheet", "row"]).withColumn("text", F.concat("text", "next"))
+    made = both.select((F.col("source_id") + 500_000).alias("baseline_id"), "path", F.concat(F.lit("twin "), "sheet").alias("sheet"), "row", "text", F.col("text").alias("original"), "speaker", X.plain_key(F.col("text")).alias("plain_text"))
+    return _base(spark, d).unionByName(made)
 
-@query("u3_unresolved_rows", f"with {SIDES}, {_pairs('text')} select baseline_id, status from decision where source_id is null")
+
+def _merged(spark, d) -> DataFrame:
+    """baseline_id, korean_key of merge candidates whose parts are all translated."""
+    src, base = (structure.with_comparison(x) for x in (_src(spark, d), _twins(spark, d)))
+    links = structure.linked_runs(structure.with_blocks(src), "source_id", base, "baseline_id", 2).withColumn("link", F.xxhash64("baseline_id", "ids"))
+    parts = links.select("baseline_id", "link", F.posexplode("ids").alias("at", "source_id")).join(src.select("source_id", "korean_key"), "source_id")
+    whole = parts.groupBy("baseline_id", "link").agg(F.array_sort(F.collect_list(F.struct("at", "korean_key"))).alias("held"), F.count_if(F.col("korean_key") == "").alias("missing"))
+    return whole.filter("missing = 0").select("baseline_id", F.array_join(F.transform("held", lambda x: x["korean_key"]), " ").alias("korean_key")).distinct()
+
+
+@query("u3_unresolved_rows", f"with {SIDES}, {_TWINS}, {_MERGED} select baseline_id, case when count(distinct nullif(s.korean_key, '')) = 0 then case when count(s.source_id) = 0 then 'unmatched' else 'all_missing' end else 'several' end as status from twins left join src s using (text) where baseline_id not in (select baseline_id from merged) and baseline_id % 10 <> 0 group by baseline_id having count(distinct nullif(s.korean_key, '')) <> 1")
 def u3(spark, d):
-    base = _base(spark, d)
-    decided = rounds.match_round(base, _src(spark, d), "text")
-    settled = decided.filter("source_id is not null").select("baseline_id")
-    return decided.select("baseline_id", "status").join(settled, "baseline_id", "left_anti")
+    rows = _twins(spark, d)
+    hits = rows.select("baseline_id", "text").join(rounds.hit_counts(_src(spark, d), "text"), "text", "left")
+    status = F.when(F.col("n").isNull(), "unmatched").when(F.col("variants") == 0, "all_missing").when(F.col("variants") == 1, "unique").otherwise("several")
+    decided = hits.select("baseline_id", status.alias("status"), F.when(F.col("variants") == 1, 1).alias("source_id"))
+    return reports.unresolved_rows(decided, _merged(spark, d), rows.filter("baseline_id % 10 = 0"))
 
 
 @query("j5_supplement_round", f"""with {SIDES}, m as (select baseline_id, replace(translate(plain_text, '，；：', ',;:'), '…', '...') as k from base where plain_text <> '' and text not in (select text from src) and plain_text not in (select plain_text from src)),
@@ -209,7 +231,7 @@ def a2(spark, d):
 
 @query("a3_row_counts", f"with {SIDES}, {_pairs('text')} select baseline_id, n, missing, variants from counts")
 def a3(spark, d):
-    return rounds.hit_counts(rounds.candidate_pairs(_base(spark, d), _src(spark, d), "text"), "baseline_id")
+    return reports.row_counts(_base(spark, d), _src(spark, d))
 
 
 @query("a4_baseline_statistics", f"""with {SIDES}, {_pairs('text')}, r as (select b.path, b.sheet, x.* from decision x join base b using (baseline_id))
@@ -238,7 +260,7 @@ def a12(spark, d):
 
 @query("j26_unmatched_sources", f"with {SIDES} select source_id from src where text not in (select text from base)")
 def j26(spark, d):
-    return _src(spark, d).join(_base(spark, d).select("text").distinct(), "text", "left_anti").select("source_id")
+    return reports.unmatched_sources(_src(spark, d), _base(spark, d))
 
 
 @query("j27_unrecommended_sources", f"with {SIDES}, {_pairs('text')}, used as (select distinct s.text, s.korean_key from decision x join src s using (source_id)) select source_id from src s where not exists (select 1 from used u where u.text = s.text and u.korean_key = s.korean_key)")
@@ -247,12 +269,11 @@ def j27(spark, d):
     return reports.unrecommended_sources(src, rounds.match_round(_base(spark, d), src, "text")).select("source_id")
 
 
-@query("d9_unrecommended_reason", f"with {SIDES}, {_pairs('text')}, used as (select distinct s.text, s.korean_key from decision x join src s using (source_id)) select source_id, case when s.text in (select text from base) then 'rules_not_met' else 'not_found' end as reason from src s where not exists (select 1 from used u where u.text = s.text and u.korean_key = s.korean_key)")
+@query("d9_unrecommended_reason", f"with {SIDES}, {_pairs('text')}, used as (select distinct s.text, s.korean_key from decision x join src s using (source_id)) select source_id, case when source_id % 11 = 0 then 'partly_split' when source_id % 7 = 0 and source_id % 5 = 0 then 'structure: changed; several' when source_id % 7 = 0 then 'structure: several' when s.text in (select text from base) then 'rules_not_met' else 'not_found' end as reason from src s where not exists (select 1 from used u where u.text = s.text and u.korean_key = s.korean_key)")
 def d9(spark, d):
     src, base = _src(spark, d), _base(spark, d)
-    left = reports.unrecommended_sources(src, rounds.match_round(base, src, "text"))
-    found = base.select("text").distinct().withColumn("found", F.lit(True))
-    return left.join(found, "text", "left").select("source_id", F.when(F.col("found"), "rules_not_met").otherwise("not_found").alias("reason"))
+    waiting = src.filter("source_id % 7 = 0").select("source_id", F.explode(F.when(F.col("source_id") % 5 == 0, F.array(F.lit("several"), F.lit("changed"))).otherwise(F.array(F.lit("several")))).alias("reason"))
+    return reports.unrecommended_reasons(src, base, rounds.match_round(base, src, "text"), src.filter("source_id % 11 = 0"), waiting)
 
 
 @query("j29_source_issues", f"with {SIDES}, v as (select text, count(distinct nullif(korean_key, '')) as variants from src group by text) select source_id, s.text not in (select text from base) as unmatched, korean_key = '' as missing, variants from src s join v using (text) where s.text not in (select text from base) or korean_key = '' or variants > 1")
@@ -273,13 +294,12 @@ def j28(spark, d):
 
 @query("l1_top_candidates", f"with {SIDES}, p as (select baseline_id, korean_key, row_number() over (partition by baseline_id order by source_id) as rn, count(*) over (partition by baseline_id) as n from base join src using (text)) select baseline_id, max(n) as n, {', '.join(f'max(case when rn = {i} then korean_key end) as korean_{i}' for i in (1, 2, 3))} from p where n <= 3 group by 1")
 def l1(spark, d):
-    return reports.top_candidates(rounds.candidate_pairs(_base(spark, d), _src(spark, d), "text"))
+    return reports.top_candidates(_base(spark, d), _src(spark, d))
 
 
-@query("u2_distinct_variants", f"with {SIDES} select distinct baseline_id, korean_key from base join src using (text) where korean_key <> ''")
+@query("u2_distinct_variants", f"with {SIDES}, {_TWINS}, {_MERGED} select baseline_id, korean_key from twins join src using (text) where korean_key <> '' union select baseline_id, korean_key from merged")
 def u2(spark, d):
-    pairs = rounds.candidate_pairs(_base(spark, d), _src(spark, d), "text").filter("korean_key <> ''").select("baseline_id", "korean_key")
-    return pairs.union(pairs).distinct()
+    return reports.distinct_variants(_twins(spark, d), _src(spark, d), _merged(spark, d))
 
 
 @query("u4_covered_rows", f"with {SIDES} select baseline_id as id from base where text in (select text from src) union select source_id from src where text in (select text from base)")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import spread
 from ..functions import text as X
 
 #: A document has fewer lines than this, so that ids keep the read order.
@@ -12,8 +13,9 @@ LINES = 1_000_000
 
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
-    return docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text"))
+    lines = docs.select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    return lines.withColumn("pos", F.when(F.col("pos") < LINES - 1, F.col("pos")).otherwise(F.raise_error(F.lit("a document has too many lines for its ids")).cast("int")))
 
 
 def _side(lines: DataFrame, path: str, id_name: str) -> DataFrame:
