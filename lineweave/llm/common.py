@@ -9,16 +9,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..cluster import send_package, settle, spread
+from ..cluster import join_spread, send_package, settle, spread  # noqa: F401 - join_spread for the operators
 
 #: Characters that one numpy step looks at; bounds the memory of a task whatever the texts are.
 CHUNK_CHARS = 400_000
 #: Words of the digest contracts: ASCII letters (lower case), digits and everything beyond ASCII.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BLANK = re.compile(r"\s")
-#: Rows of one key that one task joins, at least; and how many keys may have more than their share.
-HOT_ROWS = 1_000
-HOT_KEYS = 5_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(_UPPER, _LOWER)
 
@@ -47,21 +44,6 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return settle(df, label)
 
 
-def join_spread(rows: DataFrame, table: DataFrame, sizes: DataFrame, keys: list[str], spread: Column, total: int, how: str = "inner") -> DataFrame:
-    """rows, many for each key, joined with table, few for each key; no task gets a hot key's rows alone.
-
-    sizes(keys, n) counts the rows of each key and total those of all; `spread` differs among rows of a key. Keys
-    with more than total / HOT_KEYS rows (HOT_ROWS at least) are split, and only those entries of table repeated:
-    there are fewer than HOT_KEYS of them, a proven bound for the broadcast.
-    """
-    most = max(HOT_ROWS, total // HOT_KEYS)
-    hot = F.broadcast(sizes.filter(F.col("n") > most).select(*keys, F.ceil(F.col("n") / most).cast("int").alias("__salts")))
-    salts = F.coalesce("__salts", F.lit(1))
-    left = rows.join(hot, keys, "left").withColumn("__salt", F.pmod(F.xxhash64(spread), salts).cast("int")).drop("__salts")
-    right = table.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
-    return left.join(right, [*keys, "__salt"], how).drop("__salt")
-
-
 def chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[tuple[list[str], list[int]]]:
     """Deal texts into chunks of about `limit` characters: the pieces and the index of each piece's text.
 
