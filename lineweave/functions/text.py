@@ -208,17 +208,6 @@ def tags_balanced(value: str | None) -> bool:
     return not opened
 
 
-def speaker_names(value: str | None) -> list[str]:
-    """Names that a speaker text may stand for; none for generic speakers."""
-    text = "".join(unicodedata.normalize("NFKC", value or "").split()).lower()
-    if not text or text in GENERIC_SPEAKERS:
-        return []
-    if text in PLAYER_NAMES:
-        return ["@player"]
-    found = {text, re.sub(r"\([^)]*\)", "", text)} | set(re.findall(r"\(([^)]*)\)", text))
-    return sorted(x for x in found if x.strip("?？…"))
-
-
 def _scalar(function, kind: str):
     @F.pandas_udf(kind)
     def over(values: pd.Series) -> pd.Series:
@@ -259,8 +248,17 @@ def balanced_tags(col: Column) -> Column:
     return _scalar(tags_balanced, "boolean")(col)
 
 
+def composed(col: Column) -> Column:
+    return _scalar(lambda v: unicodedata.normalize("NFC", v or ""), "string")(col)
+
+
 def speaker_variants(col: Column) -> Column:
-    return _scalar(speaker_names, "array<string>")(col)
+    """Names that a speaker text may stand for, sorted: whole, without brackets, in brackets; none for generic speakers."""
+    text = F.lower(F.regexp_replace(normalize(col), BLANK, ""))
+    names = F.concat(F.array(text, F.regexp_replace(text, r"\([^)]*\)", "")), F.regexp_extract_all(text, F.lit(r"\(([^)]*)\)"), 1))
+    named = F.array_sort(F.array_distinct(F.filter(names, lambda x: x.rlike("[^?？…]"))))
+    nobody = (text == "") | text.isin(*sorted(GENERIC_SPEAKERS))
+    return F.when(nobody, F.array().cast("array<string>")).when(text.isin(*sorted(PLAYER_NAMES)), F.array(F.lit("@player"))).otherwise(named)
 
 
 def speaker_compare(a: Column, b: Column) -> Column:

@@ -61,25 +61,27 @@ def context_overlap(candidates: DataFrame, source: DataFrame, baseline: DataFram
     return candidates.select("source_id", "baseline_id").distinct().join(hits, ["source_id", "baseline_id"], "left").select("source_id", "baseline_id", zero("before"), zero("after"))
 
 
+# Fixed value: what a pair of equal rows is worth in a gap, by their relative positions (from 1) among m and n rows.
+def pair_worth(i: int, j: int, m: int, n: int) -> int:
+    return 1000 - round(100 * abs(i / (m + 1) - j / (n + 1)))
+
+
 def best_order(source: Sequence, target: Sequence) -> list[tuple[int, int]]:
-    """Places of equal values in the same order: as many as possible, then as near in relative position as possible."""
+    """Places of equal values in the same order: the heaviest rising chain of equal pairs.
+
+    heads[j] is the heaviest chain that ends left of target place j, as (worth, pairs); a row's pairs only extend
+    chains of the rows before it. Of equally heavy chains the first found stays.
+    """
     m, n = len(source), len(target)
-    gain = lambda i, j: 1000 - round(100 * abs(i / (m + 1) - j / (n + 1))) if source[i - 1] == target[j - 1] else None
-    total = {(i, j): 0 for i in range(m + 1) for j in range(n + 1) if not i or not j}
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            g = gain(i, j)
-            total[i, j] = max(total[i - 1, j], total[i, j - 1], -1 if g is None else total[i - 1, j - 1] + g)
-    i, j, pairs = m, n, []
-    while i > 0 and j > 0:
-        g = gain(i, j)
-        if g is not None and total[i, j] == total[i - 1, j - 1] + g:
-            i, j = i - 1, j - 1
-            pairs.append((i, j))
-        elif total[i, j] == total[i - 1, j]:
-            i -= 1
-        else:
-            j -= 1
+    heads: list[tuple[int, tuple]] = [(0, ())] * (n + 1)
+    for i, value in enumerate(source):
+        ends = [(heads[j][0] + pair_worth(i + 1, j + 1, m, n), (heads[j][1], (i, j))) if target[j] == value else heads[j + 1] for j in range(n)]
+        for j, end in enumerate(ends, 1):
+            heads[j] = max(heads[j], heads[j - 1], end, key=lambda chain: chain[0])
+    pairs, chain = [], heads[n][1]
+    while chain:
+        chain, pair = chain
+        pairs.append(pair)
     return pairs[::-1]
 
 

@@ -138,7 +138,7 @@ def best_by_context(cases: DataFrame, candidates: DataFrame) -> DataFrame:
     return best.select(*CASE, "best_id", (F.col("lo") != F.col("hi")).alias("tied"), F.floor(F.col("score") / 10).cast("int").alias("full_sides"))
 
 
-def decide(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+def decide(rows: DataFrame, candidates: DataFrame, keep_best: bool = False) -> DataFrame:
     """baseline_id, n, missing, variants, source_id, status of every row of rows(baseline_id, form, previous, following).
 
     A form is what rows with the same candidates share (their text); candidates(form, source_id, korean_key,
@@ -155,9 +155,9 @@ def decide(rows: DataFrame, candidates: DataFrame) -> DataFrame:
     cases = sizes.drop("n").join(counts, "form", "left").join(best, CASE, "left").withColumn("status", status)
     picked = F.when(F.col("status").isin(UNIQUE, CONTEXT), F.col("best_id"))
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n", "missing", "variants")]
-    cases = cases.select(*CASE, *zero, picked.alias("source_id"), "status")
+    cases = cases.select(*CASE, *zero, picked.alias("source_id"), "status", "best_id")
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    return join_spread(rows, cases, sizes, CASE, F.col("baseline_id"), total).select("baseline_id", "n", "missing", "variants", "source_id", "status")
+    return join_spread(rows, cases, sizes, CASE, F.col("baseline_id"), total).select("baseline_id", "n", "missing", "variants", "source_id", "status", *["best_id"] * keep_best)
 
 
 def match_round(baseline: DataFrame, source: DataFrame, key: str = "text") -> DataFrame:

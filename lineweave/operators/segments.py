@@ -23,6 +23,32 @@ def whole_line_pairs(baseline: DataFrame, source: DataFrame, keys: list[str]) ->
     return found
 
 
+def split_translation(rows: DataFrame, mine: str, theirs: str) -> DataFrame:
+    """rows with parts, translations, reason: parts of a line and of its translation that belong together, or why not.
+
+    mine, theirs: columns with the split_patterns() of the line and of the translation. Both sides must be cut alike,
+    with equal labels and as many parts; each pair of parts needs the same placeholders and closed tags. A translation
+    cut by line breaks may have labels beside them only if they number the same parts.
+    """
+    has_labels = lambda p: F.size(p["labels"]) > 0
+    rows = rows.withColumn("__labelled", F.exists(mine, has_labels)).withColumn("__beside", F.get(F.filter(theirs, has_labels), F.lit(0)))
+    rows = rows.withColumn("__a", S.clean_cut(F.col(mine), F.col("__labelled"))).withColumn("__b", S.clean_cut(F.col(theirs), F.col("__labelled")))
+    rows = rows.withColumn("__balanced", S.all_balanced(F.concat("__a.parts", "__b.parts")))
+    a, b, beside = F.col("__a"), F.col("__b"), F.col("__beside")
+    disagree = ~F.col("__labelled") & beside.isNotNull() & ((F.size(beside["issues"]) > 0) | (F.size(beside["parts"]) != F.size(a["parts"])))
+    holders = F.zip_with(a["parts"], b["parts"], lambda x, y: X.placeholders_agree(x, y))
+    rules = [
+        (a.isNull(), F.lit("line: no_cut")), (b.isNull(), F.lit("translation: no_cut")), (F.size(a["parts"]) < 2, F.lit("line: one_part")), (F.size(b["parts"]) < 2, F.lit("translation: one_part")),
+        (a["issues"] != "", F.concat(F.lit("line: "), a["issues"])), (b["issues"] != "", F.concat(F.lit("translation: "), b["issues"])),
+        ((a["labels"] != b["labels"]) | (F.size(a["parts"]) != F.size(b["parts"])), F.lit("unequal")), (disagree, F.lit("labels_disagree")),
+        (F.exists(holders, lambda same: ~same), F.lit("placeholders")), (~F.col("__balanced"), F.lit("tags")),
+    ]
+    first = F.get(F.filter(F.array(*[F.when(found, name) for found, name in rules]), lambda x: x.isNotNull()), F.lit(0))
+    rows = rows.withColumn("reason", F.coalesce(first, F.lit("")))
+    parts = [F.when(F.col("reason") == "", side["parts"]).otherwise(F.array().cast("array<string>")) for side in (a, b)]
+    return rows.withColumn("parts", parts[0]).withColumn("translations", parts[1]).drop("__labelled", "__beside", "__a", "__b", "__balanced")
+
+
 def segment_targets(segments: DataFrame, baseline: DataFrame) -> DataFrame:
     """source_id, index, baseline_id, usable: each segment with the baseline rows of equal text.
 
@@ -101,16 +127,12 @@ def trial_merge(originals: Column, translations: Column, baseline: Column) -> Co
     holders = F.exists(agree, lambda a: ~a)
     # every row is checked alone: a tag may not be open where a row ends
     reason = (
-        F.when(joined != whole, "not_covered").when(~letters, "no_letters").when(missing, "missing").when(holders, "placeholders").when(~_rows_balanced(F.concat(originals, translations)), "tags").otherwise("")
+        F.when(joined != whole, "not_covered").when(~letters, "no_letters").when(missing, "missing").when(holders, "placeholders").when(~S.all_balanced(F.concat(originals, translations)), "tags").otherwise("")
     )
     text = S.space_merged(F.array_join(F.transform(translations, X.match_key), " "))
     return F.struct(F.when(reason == "", text).alias("translation"), reason.alias("reason"))
 
 
-def _rows_balanced(texts: Column) -> Column:
-    return X._scalar(lambda values: all(map(X.tags_balanced, [] if values is None else values)), "boolean")(texts)
-
-
 def overlaps(candidates: DataFrame) -> DataFrame:
     """baseline_id, candidate, shared, excerpt of candidates(baseline_id, candidate, ids).
 

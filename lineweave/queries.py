@@ -115,23 +115,94 @@ def j1(spark, d):
     return rounds.candidate_pairs(_base(spark, d), _src(spark, d), "text").select("baseline_id", "source_id")
 
 
-@query("j3_plain_round", f"with {SIDES} select baseline_id, source_id from (select * from base where plain_text <> '' and text not in (select text from src)) join src using (plain_text)")
-def j3(spark, d):
-    settled = _src(spark, d).select("text").distinct()
-    return rounds.candidate_pairs(_base(spark, d).join(settled, "text", "left_anti"), _src(spark, d), "plain_text").select("baseline_id", "source_id")
+def _noted(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the notes, tags and marks that scripts and string tables write differently."""
+    row = F.col("row")
+
+    def again(side: DataFrame, original) -> DataFrame:
+        side = side.withColumn("original", original)
+        return side.withColumn("text", X.match_key(F.col("original"))).withColumn("plain_text", X.plain_key(F.col("original")))
+
+    line = F.col("original")
+    b = F.when(row % 4 == 1, F.concat(line, F.lit(","))).when(row % 4 == 2, F.concat(F.lit("<i>"), line, F.lit("</i>"))).otherwise(line)
+    s = F.when(row % 5 == 1, F.concat(line, F.lit(" (x)"))).when(row % 5 == 2, F.concat(F.lit("(a(b)) "), line)).when(row % 5 == 3, F.concat(F.lit("<b>"), line, F.lit("</b>"))).when(row % 5 == 4, F.concat(line, F.lit("，"))).otherwise(line)
+    s = F.when((row % 5 == 4) & (row % 2 == 0), F.concat(line, F.lit("， (x)"))).otherwise(s)
+    return again(_base(spark, d), b), again(_src(spark, d), s).withColumn("is_breath", row % 5 == 2)
+
+
+def _breath(x: str) -> str:
+    bare = x
+    for _ in range(5):
+        bare = rf"regexp_replace({bare}, '\([^()（）]*\)|（[^()（）]*）', '', 'g')"
+    return f"case when regexp_matches({bare}, '[()（）]') then {x} else {_strip(bare)} end"
+
+
+def _tail(x: str) -> str:
+    group = r"(?:[(][^()（）]*[)]|（[^()（）]*）)"
+    for _ in range(2):
+        group = rf"(?:[(](?:[^()（）]|{group})*[)]|（(?:[^()（）]|{group})*）)"
+    bare = x
+    for _ in range(5):
+        bare = rf"regexp_replace({bare}, '\([^()（）]*\)|（[^()（）]*）', '', 'g')"
+    return f"case when regexp_matches({bare}, '[()（）]') then {x} else {_strip(f"regexp_replace({x}, '(?:{_B}*{group})+$', '')")} end"
 
 
-@query("j2_breath_round", None)
+_NOTED = f"""{SIDES}, nb as (select baseline_id, path, sheet, row, case row % 4 when 1 then original || ',' when 2 then '<i>' || original || '</i>' else original end as original from base),
+ns as (select source_id, path, sheet, row, korean_key, case when row % 10 = 4 then original || '， (x)' when row % 5 = 1 then original || ' (x)' when row % 5 = 2 then '(a(b)) ' || original when row % 5 = 3 then '<b>' || original || '</b>' when row % 5 = 4 then original || '，' else original end as original from src),
+{", ".join(f"{n}2 as (select *, {_strip('original')} as text, {_plain('original')} as plain from {n}), {n}3 as (select *, replace(translate(plain, '，；：', ',;:'), '…', '...') as mark from {n}2), {n}4 as (select *, case when {noted} then {_breath('text')} else '' end as breath, case when {noted} then {_breath('plain')} else '' end as breath_plain, case when {noted} then {_breath('mark')} else '' end as breath_mark, {_tail('plain')} as tail, {_tail('mark')} as tail_mark from {n}3)" for n, noted in (("nb", "true"), ("ns", "row % 5 = 2")))},
+bx as materialized (select * from nb4), sx as materialized (select * from ns4)"""
+
+
+def _step(n: int, rows: str, pairs: str, key: str, kind: str) -> str:
+    """Decision of `rows` (baseline ids) over `pairs` (baseline_id, source_id, type), with contexts by `key`."""
+    equal = lambda s: " + ".join(f"coalesce(cast(b.{s}[{k}] = s.{s}[{k}] as int), 0)" for k in (1, 2, 3))
+    return f"""{_context("bx", key, f"cb{n}")}, {_context("sx", key, f"cs{n}")},
+q{n} as (select p.baseline_id, p.source_id, p.type, x.korean_key, coalesce({equal("p")}, 0) as pe, coalesce({equal("f")}, 0) as fe from {pairs} p join sx x using (source_id) join cb{n} b on b.baseline_id = p.baseline_id left join cs{n} s on s.source_id = p.source_id where p.baseline_id in (select baseline_id from {rows})),
+c{n} as (select baseline_id, count(*) as n, count(distinct nullif(korean_key, '')) as variants from q{n} group by 1),
+t{n} as (select baseline_id, max((cast(pe = 3 as int) + cast(fe = 3 as int), pe + fe)) as t from q{n} where korean_key <> '' group by 1),
+g{n} as (select q.baseline_id, min((source_id, type)) as best, count(distinct korean_key) as tied, max(cast(pe = 3 as int) + cast(fe = 3 as int)) as full_sides from q{n} q join t{n} using (baseline_id) where korean_key <> '' and (cast(pe = 3 as int) + cast(fe = 3 as int), pe + fe) = t group by 1),
+e{n} as (select baseline_id, best, coalesce(best[2], '{kind}') as match_type, case when n is null then 'unmatched' when variants = 0 then 'all_missing' when variants = 1 then 'unique' when full_sides = 0 or tied > 1 then 'pending' else 'context' end as status
+ from cb{n} left join c{n} using (baseline_id) left join g{n} using (baseline_id) where baseline_id in (select baseline_id from {rows})),
+d{n} as materialized (select baseline_id, case when status in ('unique', 'context') then best[1] end as source_id, status, match_type from e{n})"""
+
+
+def _union(*pairs: str) -> str:
+    return "(select baseline_id, source_id, arg_min(type, place) as type from (" + " union all ".join(f"select *, {i} as place from {p}" for i, p in enumerate(pairs)) + ") group by 1, 2)"
+
+
+_CASCADE = f"""{_NOTED}, r1 as (select baseline_id from bx), p1 as materialized (select baseline_id, source_id, case when b.text = s.text then 'exact' else 'breath' end as type from bx b join sx s on b.text = s.text or (b.breath <> '' and b.breath = s.breath)),
+{_step(1, "r1", "p1", "text", "exact")},
+o1 as (select baseline_id from d1 where source_id is null), f1 as (select distinct text from bx where baseline_id in (select baseline_id from o1)),
+p2 as materialized (select b.baseline_id, source_id, 'plain' as type from bx b join sx s on (b.plain <> '' and b.plain = s.plain) or (b.breath_plain <> '' and b.breath_plain = s.breath_plain) where b.text in (select text from f1)),
+{_step(2, "o1", "p2", "plain", "plain")},
+s2 as materialized (select d1.baseline_id, case when d1.source_id is not null then d1 else case when d2.baseline_id is null then d1 else d2 end end as d, case when d1.source_id is not null then 1 when d2.source_id is not null then 2 end as round from d1 left join d2 using (baseline_id)),
+o2 as (select baseline_id from s2 where d.source_id is null), u2 as (select source_id from p1 union select source_id from p2),
+p3 as materialized (select baseline_id, source_id, 'tail' as type from bx b join sx s on b.plain <> '' and b.plain = s.tail where s.tail <> s.plain and s.source_id not in (select source_id from u2)),
+r3 as (select baseline_id from o2 where baseline_id in (select baseline_id from p3)), a3 as materialized (select * from {_union("p2", "p3")}),
+{_step(3, "r3", "a3", "plain", "tail")},
+s3 as materialized (select baseline_id, case when d3.baseline_id is null then d else d3 end as d, coalesce(round, case when d3.source_id is not null then 3 end) as round from s2 left join d3 using (baseline_id)), o3 as (select baseline_id from s3 where d.source_id is null), f3 as (select distinct text from bx where baseline_id in (select baseline_id from o3)),
+p4 as materialized (select b.baseline_id, source_id, 'punctuation' as type from bx b join sx s on (b.mark <> '' and b.mark = s.mark) or (b.breath_mark <> '' and b.breath_mark = s.breath_mark) where b.text in (select text from f3)),
+a4 as materialized (select * from {_union("p2", "p3", "p4")}),
+{_step(4, "o3", "a4", "mark", "punctuation")},
+s4 as materialized (select baseline_id, case when d4.baseline_id is null then d else d4 end as d, coalesce(round, case when d4.source_id is not null then 4 end) as round from s3 left join d4 using (baseline_id)), o4 as (select baseline_id from s4 where d.source_id is null), f4 as (select distinct text from bx where baseline_id in (select baseline_id from o4)),
+u4 as (select source_id from u2 union select source_id from p3 union select source_id from p4),
+p5 as materialized (select b.baseline_id, source_id, 'tail' as type from bx b join sx s on b.mark <> '' and b.mark = s.tail_mark where s.tail_mark <> s.mark and s.source_id not in (select source_id from u4) and b.text in (select text from f4)),
+r5 as (select baseline_id from o4 where baseline_id in (select baseline_id from p5)), a5 as materialized (select * from {_union("p2", "p3", "p4", "p5")}),
+{_step(5, "r5", "a5", "mark", "tail")},
+s5 as (select baseline_id, case when d5.baseline_id is null then d else d5 end as d, coalesce(round, case when d5.source_id is not null then 5 end) as round from s4 left join d5 using (baseline_id)),
+every as (select 1 as stage, * from {_union("p1", "p3")} union all select 2, * from {_union("p2", "p3")} union all select 3, * from a5 union all select 3, p1.* from p1 join bx using (baseline_id) where plain = ''),
+met as (select stage, baseline_id, count(*) as n, count(*) filter (korean_key = '') as missing, count(distinct nullif(korean_key, '')) as variants from every join sx using (source_id) group by 1, 2)
+select s5.baseline_id, coalesce(n, 0) as n, coalesce(missing, 0) as missing, coalesce(variants, 0) as variants, d.source_id as source_id, d.status as status, d.match_type as match_type, cast(round as integer) as round from s5 left join met on met.baseline_id = s5.baseline_id and met.stage = least(coalesce(round, 3), 3)"""
+
+
+@query("j2_breath_round", f"with {_NOTED} select baseline_id, source_id from bx b join sx s on b.text = s.text union select baseline_id, source_id from bx b join sx s on b.breath = s.breath and b.breath <> ''")
 def j2(spark, d):
-    b, s = (x.withColumn("breath", X.breath_key(F.col("text"))) for x in (_base(spark, d), _src(spark, d)))
-    both = rounds.candidate_pairs(b, s, "text").select("baseline_id", "source_id").unionByName(rounds.candidate_pairs(b, s, "breath").select("baseline_id", "source_id"))
-    return both.dropDuplicates()
+    return lookup.breath_pairs(*_noted(spark, d))
 
 
-@query("j4_tail_round", None)
+@query("j4_tail_round", f"with {_NOTED}, u as (select source_id from bx b join sx s on b.text = s.text union select source_id from bx b join sx s on b.plain = s.plain and b.plain <> '' union select source_id from bx b join sx s on b.breath = s.breath and b.breath <> '' union select source_id from bx b join sx s on b.breath_plain = s.breath_plain and b.breath_plain <> '') select baseline_id, source_id from bx b join sx s on b.plain = s.tail where b.plain <> '' and s.tail <> s.plain and s.source_id not in (select source_id from u)")
 def j4(spark, d):
-    s = _src(spark, d).withColumn("tail", X.tail_key(F.concat("plain_text", F.lit(" (x)")))).filter("tail <> ''")
-    return rounds.candidate_pairs(_base(spark, d).withColumn("tail", F.col("plain_text")), s, "tail").select("baseline_id", "source_id")
+    return lookup.unused_tail_pairs(*_noted(spark, d))
 
 
 @query("w2_context_lines", f"with {SIDES}, {_context('base', 'text', 'cb')} select baseline_id, p[1] as p1, p[2] as p2, p[3] as p3, f[1] as f1, f[2] as f2, f[3] as f3 from cb")
@@ -192,17 +263,22 @@ def u3(spark, d):
     return reports.unresolved_rows(decided, _merged(spark, d), rows.filter("baseline_id % 10 = 0"))
 
 
-@query("j5_supplement_round", f"""with {SIDES}, m as (select baseline_id, replace(translate(plain_text, '，；：', ',;:'), '…', '...') as k from base where plain_text <> '' and text not in (select text from src) and plain_text not in (select plain_text from src)),
-s as (select source_id, replace(translate(plain_text, '，；：', ',;:'), '…', '...') as k from src where plain_text <> '') select baseline_id, source_id from m join s using (k)""")
+@query("j3_plain_round", f"with {_NOTED} select baseline_id, source_id, 'plain' as match_type from bx b join sx s using (plain) where plain <> '' and b.text not in (select text from sx)")
+def j3(spark, d):
+    b, s = _noted(spark, d)
+    met = rounds.candidate_pairs(b.join(s.select("text").distinct(), "text", "left_anti"), s, "plain_text")
+    return met.select("baseline_id", "source_id", F.lit("plain").alias("match_type"))
+
+
+@query("j5_supplement_round", f"with {_CASCADE.replace('select s5.baseline_id, coalesce(n, 0)', ', last as (select s5.baseline_id, coalesce(n, 0)')}) select baseline_id, n, variants, status, match_type, round from last where round is null or round > 3")
 def j5(spark, d):
-    s = _src(spark, d).withColumn("k", X.punctuation_key(F.col("plain_text")))
-    b = _base(spark, d).join(s.select("text").distinct(), "text", "left_anti").join(s.select("plain_text").distinct(), "plain_text", "left_anti").withColumn("k", X.punctuation_key(F.col("plain_text")))
-    return rounds.candidate_pairs(b, s, "k").select("baseline_id", "source_id")
+    """Rows that the exact, plain and tail rounds leave open, with all their candidates and the type of each one's best."""
+    return lookup.cascade(*_noted(spark, d)).filter("round is null or round > 3").select("baseline_id", "n", "variants", "status", "match_type", "round")
 
 
-@query("lookup_cascade", None)
+@query("lookup_cascade", f"with {_CASCADE}")
 def cascade(spark, d):
-    return lookup.exact_then_plain(_base(spark, d), _src(spark, d))
+    return lookup.cascade(*_noted(spark, d))
 
 
 @query("j6_fuzzy_texts", None)
@@ -212,8 +288,8 @@ def j6(spark, d):
 
 @query("d5_fuzzy_decision", None)
 def d5(spark, d):
-    base, src = _base(spark, d), _src(spark, d)
-    return lookup.fuzzy_round(rounds.match_round(base, src, "text"), base, src)
+    """Decisions of the whole lookup whose candidates are similar texts."""
+    return lookup.cascade(_base(spark, d), _src(spark, d), similar=True).filter(F.col("match_type") == lookup.SIMILAR)
 
 
 # ---- reports

@@ -155,8 +155,8 @@ def x15(spark, d):
 
 @query("x16_split_translation")
 def x16(spark, d):
-    r = _cuts(spark, d).select("id", S.split_translation(F.col("cut"), F.col("other")).alias("r"))
-    return r.select("id", F.size("r.parts").alias("parts"), F.array_join("r.translations", "|").alias("translations"), "r.reason")
+    cuts = _cuts(spark, d).select("id", S.split_patterns(F.col("cut")).alias("mine"), S.split_patterns(F.col("other")).alias("theirs"))
+    return segments.split_translation(cuts, "mine", "theirs").select("id", F.size("parts").alias("parts"), F.array_join("translations", "|").alias("translations"), "reason")
 
 
 @query("x18_space_merged")

@@ -32,8 +32,8 @@ def test_ties_stay_pending_and_later_rounds_keep_settled_rows(spark):
     assert {r["baseline_id"]: r["status"] for r in first.collect()} == {1: "pending", 2: "unmatched"}
     from lineweave.plans import lookup
 
-    done = {r["baseline_id"]: (r["status"], r["match_type"]) for r in lookup.exact_then_plain(b, s).collect()}
-    assert done == {1: ("pending", "punctuation"), 2: ("unique", "punctuation")}
+    done = {r["baseline_id"]: (r["status"], r["match_type"]) for r in lookup.cascade(b, s).collect()}
+    assert done == {1: ("pending", "plain"), 2: ("unique", "punctuation")}
 
 
 def test_fuzzy_join_is_complete(spark):

@@ -39,15 +39,17 @@ def test_split_patterns():
     assert [text[s["start"] : s["end"]] for s in broken["spans"]] == broken["parts"] == ["a", "b", "c"]
 
 
-def test_split_translation():
-    assert S.cut_together("1.甲{a} 2.乙", "1.가{a} 2.나") == (["甲{a} ", "乙"], ["가{a} ", "나"], "")
-    assert S.cut_together("1.甲 2.乙", "1.가 3.나")[2] == "translation: not_consecutive"
-    assert S.cut_together("1.甲{a} 2.乙", "1.가 2.나")[2] == "part 1: placeholders differ"
-    assert S.cut_together("\n甲\n乙\n", "가\n나")[2] == ""
-    assert S.cut_together("甲\n乙", "가\n나\n다")[2] == "labels or numbers of parts differ"
-    assert S.cut_together("A.甲 B.乙", "A.가 B.나")[2] == "line: no usable cut"
-    assert S.cut_together("甲\n<color=1>乙", "가\n나")[2] == "part 2: tag not closed"
-    assert S.cut_together(None, None)[2] == "line: no usable cut"
+def test_split_translation(spark):
+    cases = [
+        ("1.甲{a} 2.乙", "1.가{a} 2.나", (["甲{a} ", "乙"], ["가{a} ", "나"], "")), ("1.甲 2.乙", "1.가 3.나", ([], [], "translation: not_consecutive")),
+        ("1.甲{a} 2.乙", "1.가 2.나", ([], [], "placeholders")), ("\n甲\n乙\n", "가\n나", (["甲", "乙"], ["가", "나"], "")), ("甲\n乙", "가\n나\n다", ([], [], "unequal")),
+        ("A.甲 B.乙", "A.가 B.나", ([], [], "line: no_cut")), ("甲\n<color=1>乙", "가\n나", ([], [], "tags")), (None, None, ([], [], "line: no_cut")),
+        ("1.甲 2.乙", "가\n나", ([], [], "translation: no_cut")), ("甲\n乙", "1.가\n3.나", ([], [], "labels_disagree")), ("\n甲\n", "가\n나", ([], [], "line: one_part")), ("甲\n \n乙", "가\n나", ([], [], "line: empty_part")),
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "id int, a string, b string")
+    df = df.select("id", S.split_patterns(F.col("a")).alias("a"), S.split_patterns(F.col("b")).alias("b"))
+    got = segments.split_translation(df, "a", "b").orderBy("id").collect()
+    assert [(r["parts"], r["translations"], r["reason"]) for r in got] == [c[2] for c in cases]
 
 
 def test_spaces_after_sentences():
@@ -57,10 +59,10 @@ def test_spaces_after_sentences():
         assert S.spaced(S.spaced(text)) == S.spaced(text)
 
 
-def test_speaker_of_file_name():
-    assert S.speaker_in_name("a/x_P12_小明(男)_角色文档.xlsx") == "小明"
-    assert S.speaker_in_name("主人公_男_P1_主人公_角色文档.xlsx") == "男主角"
-    assert S.speaker_in_name("x_P12_小明.xlsx") == S.speaker_in_name(None) == ""
+def test_speaker_of_file_name(spark):
+    cases = {"a/x_P12_小明(男)_角色文档.xlsx": "小明", "主人公_男_P1_主人公_角色文档.xlsx": "男主角", "x\\주인공_여_P2_주인공_캐릭터.xlsx": "女主角", "小红_角色文档.xlsx": "小红", "x_P12_小明.xlsx": "", "主人公_남_P1_主人公_角色文档.xlsx": "主人公", None: ""}
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(cases)], "id int, name string")
+    assert [r[1] for r in df.select("id", S.filename_speaker(F.col("name"))).orderBy("id").collect()] == list(cases.values())
 
 
 def test_common_subsequence_equals_brute_force():
