@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from operator import eq
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -66,7 +67,7 @@ def pair_worth(i: int, j: int, m: int, n: int) -> int:
     return 1000 - round(100 * abs(i / (m + 1) - j / (n + 1)))
 
 
-def best_order(source: Sequence, target: Sequence) -> list[tuple[int, int]]:
+def best_order(source: Sequence, target: Sequence, same: Callable = eq) -> list[tuple[int, int]]:
     """Places of equal values in the same order: the heaviest rising chain of equal pairs.
 
     heads[j] is the heaviest chain that ends left of target place j, as (worth, pairs); a row's pairs only extend
@@ -75,7 +76,7 @@ def best_order(source: Sequence, target: Sequence) -> list[tuple[int, int]]:
     m, n = len(source), len(target)
     heads: list[tuple[int, tuple]] = [(0, ())] * (n + 1)
     for i, value in enumerate(source):
-        ends = [(heads[j][0] + pair_worth(i + 1, j + 1, m, n), (heads[j][1], (i, j))) if target[j] == value else heads[j + 1] for j in range(n)]
+        ends = [(heads[j][0] + pair_worth(i + 1, j + 1, m, n), (heads[j][1], (i, j))) if same(value, target[j]) else heads[j + 1] for j in range(n)]
         for j, end in enumerate(ends, 1):
             heads[j] = max(heads[j], heads[j - 1], end, key=lambda chain: chain[0])
     pairs, chain = [], heads[n][1]
@@ -105,11 +106,13 @@ def _align(source: DataFrame, target: DataFrame, longest: int, how: Callable[[Se
     def small(rows: DataFrame, id_name: str, side: str) -> DataFrame:
         sizes = rows.groupBy("gap").agg(F.count("*").alias("rows")).filter(F.col("rows") <= longest)
         held = rows.join(sizes, "gap", "left_semi")
-        return held.select(F.col("gap").alias(f"{side}_gap"), F.col("row").alias(f"{side}_row"), F.col("loose").alias(f"{side}_loose"), F.col(id_name).cast("long").alias(id_name))
+        roles = F.col("roles") if "roles" in rows.columns else F.array().cast("array<string>")
+        return held.select(F.col("gap").alias(f"{side}_gap"), F.col("row").alias(f"{side}_row"), F.col("loose").alias(f"{side}_loose"), roles.alias(f"{side}_roles"), F.col(id_name).cast("long").alias(id_name))
 
     def place(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values("s_row"), right.sort_values("t_row")
-        pairs = how(left["s_loose"].tolist(), right["t_loose"].tolist())
+        values = lambda rows, side: [(x, frozenset(r)) for x, r in zip(rows[f"{side}_loose"], rows[f"{side}_roles"], strict=True)]
+        pairs = how(values(left, "s"), values(right, "t"))
         return pd.DataFrame([(left["source_id"].iloc[i], right["baseline_id"].iloc[j]) for i, j in pairs], columns=["source_id", "baseline_id"], dtype="int64")
 
     a, b = small(source, "source_id", "s"), small(target, "baseline_id", "t")
@@ -120,14 +123,19 @@ def between_anchors(source: DataFrame, target: DataFrame) -> DataFrame:
     """source_id, baseline_id: rows of a gap between two confirmed rows, aligned in order with the rows between.
 
     source(gap, row, source_id, loose), target(gap, row, baseline_id, loose). By the rule a gap has at most 60 rows on
-    either side; wider gaps get no proposal, which also bounds what one task holds.
+    either side; wider gaps get no proposal, which also bounds what one task holds. With roles (arrays) on both sides
+    equal rows must share one or leave them open.
     """
-    return _align(source, target, GAP_ROWS, best_order)
+    return _align(source, target, GAP_ROWS, lambda a, b: best_order(a, b, _same_row))
+
+
+def _same_row(a: tuple[str, frozenset], b: tuple[str, frozenset]) -> bool:
+    return a[0] == b[0] and (not a[1] or not b[1] or not a[1].isdisjoint(b[1]))
 
 
 def beside_anchor(source: DataFrame, target: DataFrame) -> DataFrame:
     """As between_anchors() for a gap with one anchor: at most 15 rows, and only where a single placement exists."""
-    return _align(source, target, EDGE_ROWS, only_order)
+    return _align(source, target, EDGE_ROWS, lambda a, b: only_order([x for x, _ in a], [x for x, _ in b]))
 
 
 def similar_unique(source: DataFrame, baseline: DataFrame, percent: int = 90, shortest: int = 6) -> DataFrame:

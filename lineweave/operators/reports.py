@@ -103,10 +103,65 @@ def unrecommended_sources(source: DataFrame, decisions: DataFrame) -> DataFrame:
     return left
 
 
-def row_counts(baseline: DataFrame, source: DataFrame, key: str = "text") -> DataFrame:
-    """baseline_id, n, missing, variants of baseline rows with a source; sources are counted by text, not by pair."""
+def row_counts(baseline: DataFrame, source: DataFrame, key: str = "text", structure: DataFrame | None = None) -> DataFrame:
+    """baseline_id, n, missing, variants of baseline rows with a source; sources are counted by text, not by pair.
+
+    structure(baseline_id, korean_key): items that count as candidates of their row.
+    """
     hits = hit_counts(source.filter(F.col(key) != ""), key)
-    return baseline.select("baseline_id", key).join(hits, key).select("baseline_id", "n", "missing", "variants")
+    if structure is None:
+        return baseline.select("baseline_id", key).join(hits, key).select("baseline_id", "n", "missing", "variants")
+    # variants of both kinds: the translations of a text are one array, met once for each row with an item
+    held = source.filter((F.col(key) != "") & (F.col("korean_key") != "")).join(baseline.join(structure.select("baseline_id").distinct(), "baseline_id").select(key).distinct(), key)
+    known = held.groupBy(key).agg(F.collect_set("korean_key").alias("known"))
+    items = structure.groupBy("baseline_id").agg(F.count("*").alias("more"), F.count_if(F.col("korean_key") == "").alias("blank"), F.collect_set(F.when(F.col("korean_key") != "", F.col("korean_key"))).alias("own"))
+    rows = baseline.select("baseline_id", key).join(hits, key, "left").join(items, "baseline_id", "left").join(known, key, "left").filter("n is not null or more is not null")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    empty = F.array().cast("array<string>")
+    variants = F.when(F.col("own").isNull(), F.col("variants")).otherwise(F.size(F.array_union(F.coalesce("known", empty), F.col("own"))).cast("long"))
+    return rows.select("baseline_id", (zero("n") + zero("more")).alias("n"), (zero("missing") + zero("blank")).alias("missing"), variants.alias("variants"))
+
+
+def full_statistics(rows: DataFrame, sheets: DataFrame) -> DataFrame:
+    """Nine counts and three rates by sheet (level 0), file (1) and in total (3); sheets without rows are listed too.
+
+    rows(path, sheet, n, variants, source_id) are decided baseline rows, sheets(path, sheet) all that take part.
+    """
+    listed = sheets.distinct().join(rows.select("path", "sheet", "n", "variants", "source_id", F.lit(1).alias("one")), ["path", "sheet"], "left")
+    flag = lambda cond: F.count_if(cond & F.col("one").isNotNull())
+    conflict, chosen = F.col("variants") > 1, F.col("source_id").isNotNull()
+    sets = listed.groupingSets([["path", "sheet"], ["path"], []], "path", "sheet").agg(
+        F.grouping_id().cast("int").alias("level"), F.count("one").alias("total"), flag(F.col("n") > 0).alias("matched"), flag(F.col("variants") > 0).alias("translated"), flag(chosen).alias("recommended"), flag(F.col("n") == 0).alias("unmatched"),
+        flag((F.col("n") > 0) & (F.col("variants") == 0)).alias("all_missing"), flag(conflict).alias("conflicts"), flag(conflict & chosen).alias("resolved"), flag(conflict & ~chosen).alias("pending"),
+    )
+    rates = {"match_rate": "matched", "translate_rate": "translated", "recommend_rate": "recommended"}
+    return sets.select("*", *[X.rate(F.col(part), F.col("total")).alias(name) for name, part in rates.items()])
+
+
+def full_source_statistics(source: DataFrame, matched: DataFrame, skipped: DataFrame) -> DataFrame:
+    """By sheet (level 0), file (1) and in total (3): rows, matched, unmatched, missing, conflicting texts, skipped rows, rate, state.
+
+    matched(source_id) and skipped(source_id) are distinct.
+    """
+    mark = lambda ids, name: ids.select("source_id", F.lit(1).alias(name))
+    conflicts = conflict_texts(source).select("text", F.lit(1).alias("conflict"))
+    rows = source.join(mark(matched, "hit"), "source_id", "left").join(mark(skipped, "skip"), "source_id", "left").join(conflicts, "text", "left")
+    sets = rows.groupingSets([["path", "sheet"], ["path"], []], "path", "sheet").agg(
+        F.grouping_id().cast("int").alias("level"), F.count("*").alias("total"), F.count("hit").alias("matched"), F.count_if(F.col("hit").isNull()).alias("unmatched"), F.count_if(F.col("korean_key") == "").alias("missing"),
+        F.countDistinct(F.when(F.col("conflict") == 1, F.col("text"))).alias("conflicts"), F.count("skip").alias("skipped"),
+    )
+    return sets.select("*", X.rate(F.col("matched"), F.col("total")).alias("match_rate"), F.when(F.col("skipped") > 0, "partly").otherwise("whole").alias("state"))
+
+
+def run_totals(decisions: DataFrame, source: DataFrame, baseline: DataFrame, filled: DataFrame, skipped: DataFrame) -> DataFrame:
+    """One row with the ten totals of a run."""
+    of_rows = decisions.agg(F.count("*").alias("baseline_rows"), F.count_if(F.col("n") > 0).alias("matched"), F.sum("n").alias("pairs"), F.count("source_id").alias("recommended"))
+    of_sources = source.agg(F.count("*").alias("source_rows"), F.count_if(F.col("korean_key") == "").alias("missing"))
+    counts = {"matched_sources": source.join(baseline.select("text").distinct(), "text", "left_semi"), "conflicts": conflict_texts(source), "filled": filled, "skipped": skipped}
+    out = of_rows.join(F.broadcast(of_sources))  # one row each
+    for name, table in counts.items():
+        out = out.join(F.broadcast(table.agg(F.count("*").alias(name))))
+    return out
 
 
 def top_candidates(baseline: DataFrame, source: DataFrame, shown: int = 3, key: str = "text") -> DataFrame:

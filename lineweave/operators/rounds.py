@@ -32,6 +32,11 @@ def with_context(rows: DataFrame, key: str = "text", hashed: bool = False) -> Da
     return filled.withColumn("previous", before).withColumn("following", F.collect_list("__line").over(sheet.rowsBetween(1, SIDE))).drop("__line")
 
 
+def with_sequence(rows: DataFrame) -> DataFrame:
+    """seq: running number of the usable rows of each sheet."""
+    return rows.withColumn("seq", F.row_number().over(Window.partitionBy("path", "sheet").orderBy("row")))
+
+
 def context_with_skips(rows: DataFrame, id_name: str) -> DataFrame:
     """id, side, row, text, context_skip: the lines around each usable row until three usable ones, skipped ones included.
 

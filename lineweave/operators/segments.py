@@ -142,6 +142,9 @@ def overlaps(candidates: DataFrame) -> DataFrame:
     single = candidates.groupBy("baseline_id").agg(F.count("*").alias("held"))
     rows = candidates.join(single, "baseline_id")
     each = rows.select("baseline_id", "candidate", F.explode("ids").alias("id"))
+    # rows that one baseline alone uses, which are most, meet nobody
+    owners = each.groupBy("id").agg(F.min("baseline_id").alias("lo"), F.max("baseline_id").alias("hi")).filter("lo < hi").select("id")
+    each = each.join(owners, "id", "left_semi")
     others = each.select(F.col("baseline_id").alias("o_baseline"), F.col("candidate").alias("o_candidate"), "id")
     met = each.join(others, "id").filter("baseline_id <> o_baseline").select("baseline_id", "candidate", "o_baseline", "o_candidate").distinct()
     met = met.join(rows.select("candidate", "ids"), "candidate").join(rows.select(F.col("candidate").alias("o_candidate"), F.col("ids").alias("o_ids"), F.col("held").alias("o_held")), "o_candidate")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..cluster import spread
 from ..functions import text as X
@@ -37,3 +38,20 @@ def baseline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """baseline_id, path, sheet, row, text, original, speaker, plain_text."""
     rows = _side(document_lines(spark, sf_dir).filter("doc_id % 2 = 1"), "baseline", "baseline_id")
     return rows.withColumn("plain_text", X.plain_key(F.col("original"))).drop("doc_id")
+
+
+def with_read_order(rows: DataFrame, name: str) -> DataFrame:
+    """A number for each row in the order files (case-folded path), sheets and rows are read in, from 1.
+
+    rows(path, sheet_index, row). Rows are numbered within their sheet, sheets within their file and files among each
+    other, by sums of counts, so that no task gets more than one sheet or one row for each file.
+    """
+    sheets = rows.groupBy(F.lower("path").alias("__file"), "sheet_index").agg(F.count("*").alias("__n"))
+    in_file = Window.partitionBy("__file").orderBy("sheet_index").rowsBetween(Window.unboundedPreceding, -1)
+    files = sheets.groupBy("__file").agg(F.sum("__n").alias("__m"))
+    before = Window.partitionBy(F.lit(0)).orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("__file", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__start"))
+    offsets = sheets.withColumn("__before", F.coalesce(F.sum("__n").over(in_file), F.lit(0))).join(starts, "__file").select("__file", "sheet_index", (F.col("__before") + F.col("__start")).alias("__offset"))
+    own = Window.partitionBy("__file", "sheet_index").orderBy("row")
+    placed = rows.withColumn("__file", F.lower("path")).join(offsets, ["__file", "sheet_index"])
+    return placed.withColumn(name, F.row_number().over(own) + F.col("__offset")).drop("__file", "__offset")

@@ -107,7 +107,7 @@ def test_reviews_are_all_or_nothing(spark):
     old = spark.createDataFrame([("a", "1", "yes")], form)
     candidates = spark.createDataFrame([("a", "1"), ("b", "2")], "identity string, fingerprint string")
     filled = spark.createDataFrame([("a", "1", ""), ("b", "2", "no")], form)
-    assert {tuple(r) for r in workbook.apply_reviews(old, filled, candidates).collect()} == {("a", "1", "yes"), ("b", "2", "no")}
+    assert {tuple(r) for r in workbook.apply_reviews(old, filled, candidates).collect()} == {("a", "1", "yes", ""), ("b", "2", "no", "")}
     for bad in [("b", "9", "no"), ("c", "1", "no"), ("b", "2", "maybe")]:
         with pytest.raises(ValueError, match="refused"):
             workbook.apply_reviews(old, spark.createDataFrame([bad], form), candidates)
