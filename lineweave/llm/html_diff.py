@@ -254,13 +254,15 @@ def known_partners(pages: DataFrame) -> DataFrame:
     filled = pages.filter(F.size("lines") > 0)
     groups = stash(filled.groupBy("host", "group").agg(F.min(F.struct("path", "page_key")).alias("first"), F.count("*").alias("n")), "groups")
     pairs = partners(groups.select("first.page_key", "host", "first.path"))
-    lines = filled.select(F.col("page_key").alias("partner_key"), "lines")
+    # repeated rows share a key: one of them stays, after the join's own shuffle
+    partner = pairs.select("partner_key").distinct()
+    lines = filled.select(F.col("page_key").alias("partner_key"), "lines").join(partner, "partner_key", "left_semi").dropDuplicates(["partner_key"])
     # a group is the partner of two others at most, so no key of this join is hot
     met = pairs.join(lines, "partner_key").select("page_key", "partner_key", "lines")
     by_group = groups.select("host", "group", F.col("first.page_key").alias("page_key")).join(met, "page_key").drop("page_key")
     # copies make hot groups
     total = groups.agg(F.sum("n")).first()[0] or 0
-    rows = pages.select("page_key", "host", "group")
+    rows = pages.select("page_key", "host", "group").distinct()
     return join_spread(rows, by_group, groups, ["host", "group"], F.col("page_key"), total, "left").select("page_key", "partner_key", "lines")
 
 
@@ -293,6 +295,6 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["text", "n_lines", "n_shared"])
 
     keys = rows.select("page_key", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"), hashes("html").alias("lines"))
-    known = known_partners(stash(keys.dropDuplicates(["page_key"]), "lines")).select("page_key", "lines", F.col("partner_key.page_id").alias("partner_id"))
+    known = known_partners(stash(keys, "lines")).select("page_key", "lines", F.col("partner_key.page_id").alias("partner_id"))
     met = rows.join(known, "page_key").withColumn("r", extracted("html", "lines"))
     return met.select("page_id", "url", "r.text", F.length("r.text").cast("long").alias("n_chars"), "partner_id", "r.n_lines", "r.n_shared")
