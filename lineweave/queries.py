@@ -553,9 +553,12 @@ def a7(spark, d):
 # ---- structure
 
 
-@query("w5_blocks", f"with {SIDES}, c as (select baseline_id, path, sheet, row, {_comparison('original')} as k from base), b as (select *, coalesce(lag(row) over w <> row - 1 or lag(k) over w = '', true) or k = '' as broken from c window w as (partition by path, sheet order by row)) select baseline_id, cast(sum(cast(broken as int)) over (partition by path, sheet order by row) as bigint) as block from b")
+@query("w5_blocks", f"""with {SIDES}, c as (select baseline_id, path, sheet, row, {_comparison('original')} as k, case when row % 5 = 0 then speaker || (row // 10) end as named from base),
+d as (select *, last_value(named ignore nulls) over (partition by path, sheet order by row rows unbounded preceding) as scene from c),
+b as (select *, coalesce(lag(row) over w <> row - 1 or lag(k) over w = '', true) or k = '' or scene is distinct from lag(scene) over w as broken from d window w as (partition by path, sheet order by row)) select baseline_id, cast(sum(cast(broken as int)) over (partition by path, sheet order by row) as bigint) as block from b""")
 def w5(spark, d):
-    return structure.with_blocks(structure.with_comparison(_base(spark, d))).select("baseline_id", "block")
+    scene = F.when(F.col("row") % 5 == 0, F.concat("speaker", F.floor(F.col("row") / 10).cast("string")))
+    return structure.with_blocks(structure.with_comparison(_base(spark, d)).withColumn("scene", scene), scene="scene").select("baseline_id", "block")
 
 
 @query("w9_rolling_texts", f"""with {SIDES}, c as (select source_id, path, sheet, row, {_comparison('original')} as k from src), b as (select *, coalesce(lag(row) over w <> row - 1 or lag(k) over w = '', true) or k = '' as broken from c window w as (partition by path, sheet order by row)),
@@ -583,14 +586,20 @@ def j9(spark, d):
     return structure.linked_runs(base, "baseline_id", src, "source_id", 8).select("source_id", F.size("ids").alias("parts"), F.get("ids", F.lit(0)).alias("first_id"))
 
 
-@query("j11_neighbour_evidence", f"""with {SIDES}, b as (select baseline_id, sheet, row, {_comparison('original')} as k from base), s as (select source_id, sheet, row, {_comparison('original')} as k from src),
-l as (select b.baseline_id, s.source_id, b.sheet as bs, b.row as br, s.sheet as ss, s.row as sr from b join s on b.k = s.k where b.k <> '' and length(b.k) >= 40),
-e as (select l.baseline_id, l.source_id, d, b.k is not null and s.k is not null and b.k = s.k and b.k <> '' as eq from l, (select unnest([-3, -2, -1, 1, 2, 3]) as d) left join b on b.sheet = bs and b.row = br + d left join s on s.sheet = ss and s.row = sr + d),
-q as (select baseline_id, source_id, bool_and(eq) filter (d = -1) as p1, bool_and(eq) filter (d >= -2 and d < 0) as p2, bool_and(eq) filter (d < 0) as p3, bool_and(eq) filter (d = 1) as f1, bool_and(eq) filter (d <= 2 and d > 0) as f2, bool_and(eq) filter (d > 0) as f3 from e group by 1, 2)
-select source_id, baseline_id, cast(p1 as int) + cast(p2 as int) + cast(p3 as int) as before, cast(f1 as int) + cast(f2 as int) + cast(f3 as int) as after from q""")
+_BLOCKS = "coalesce(lag(row) over w <> row - 1 or lag(k) over w = '', true) or k = ''"
+
+
+@query("j11_neighbour_evidence", f"""with {SIDES}, b0 as (select baseline_id, sheet, row, {_comparison('original')} as k from base), s0 as (select source_id, sheet, row, {_comparison('original')} as k from src),
+b1 as (select *, {_BLOCKS} as broken from b0 window w as (partition by sheet order by row)), s1 as (select *, {_BLOCKS} as broken from s0 window w as (partition by sheet order by row)),
+b as (select *, sum(cast(broken as int)) over (partition by sheet order by row) as bl from b1), s as (select *, sum(cast(broken as int)) over (partition by sheet order by row) as bl from s1),
+one as (select k from (select k from b group by k having count(*) = 1) join (select k from s group by k having count(*) = 1) using (k)),
+l as (select b.baseline_id, s.source_id, b.sheet as bs, b.row as br, b.bl as bb, s.sheet as ss, s.row as sr, s.bl as sb from b join s on b.k = s.k where b.k <> ''),
+e as (select l.baseline_id, l.source_id, d, b.k is not null and s.k is not null and b.k = s.k and b.k <> '' as eq, one.k is not null as single from l, (select unnest([-3, -2, -1, 1, 2, 3]) as d) left join b on b.sheet = bs and b.bl = bb and b.row = br + d left join s on s.sheet = ss and s.bl = sb and s.row = sr + d left join one on one.k = s.k),
+q as (select *, bool_and(eq) over (partition by baseline_id, source_id, d > 0 order by abs(d)) as run from e)
+select source_id, baseline_id, cast(count(*) filter (run and d < 0) as int) as before, cast(count(*) filter (run and d > 0) as int) as after, bool_or(run and single) as anchored from q group by 1, 2""")
 def j11(spark, d):
-    base, src = structure.with_comparison(_base(spark, d)), structure.with_comparison(_src(spark, d))
-    links = base.select("baseline_id", "comparison").filter(F.length("comparison") >= 40).join(src.select("source_id", "comparison"), "comparison").select("source_id", "baseline_id")
+    base, src = (structure.with_blocks(structure.with_comparison(x)) for x in (_base(spark, d), _src(spark, d)))
+    links = base.filter("comparison <> ''").select("baseline_id", "comparison").join(src.select("source_id", "comparison"), "comparison").select("source_id", "baseline_id")
     return structure.neighbour_evidence(links, src, base)
 
 

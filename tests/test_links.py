@@ -51,6 +51,19 @@ def test_merge_links(spark):
     assert got == {(1, (2, 3)), (2, (1, 2, 3, 4))}
 
 
+def test_blocks_and_neighbours(spark):
+    form = "long, row int, comparison string, scene string"
+    b = [(1, 1, "a", "x"), (2, 2, "b", " "), (3, 3, "c", None), (4, 4, "d", "y"), (5, 6, "a", None), (6, 7, "", None), (7, 8, "b", None)]
+    base = structure.with_blocks(spark.createDataFrame(b, f"baseline_id {form}").selectExpr("*", "'p' as path", "'s' as sheet"), scene="scene")
+    assert [r["block"] for r in base.orderBy("row").collect()] == [1, 1, 1, 2, 3, 4, 5]
+    s = [(1, 1, "a", None), (2, 2, "b", None), (3, 3, "c", None), (4, 4, "d", None)]
+    source = structure.with_blocks(spark.createDataFrame(s, f"source_id {form}").selectExpr("*", "'q' as path", "'s' as sheet"))
+    links = source.join(base.drop("path", "sheet", "row", "scene", "block"), "comparison").select("source_id", "baseline_id")
+    got = {tuple(r[:2]): tuple(r[2:]) for r in structure.neighbour_evidence(links, source, base).collect()}
+    # c and d stand once on either side, but the scene of the string table parts them
+    assert got == {(1, 1): (0, 2, True), (2, 2): (1, 1, True), (3, 3): (2, 0, False), (4, 4): (0, 0, False), (1, 5): (0, 0, False), (2, 7): (0, 0, False)}
+
+
 def test_keys(spark):
     numbers = spark.createDataFrame([(1,), (12,), (123,), (7,)], "n long")
     near = {(r[0], r[1]) for r in keys.within_band(numbers.toDF("a"), numbers.toDF("b"), "a", "b", 5).collect()}
