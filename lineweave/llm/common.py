@@ -16,8 +16,8 @@ CHUNK_CHARS = 400_000
 #: Words of the digest contracts: ASCII letters (lower case), digits and everything beyond ASCII.
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _BLANK = re.compile(r"\s")
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ASCII_LOWER = str.maketrans(_UPPER, _LOWER)
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +25,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ascii_lower(col: Column) -> Column:
-    return F.translate(col, _UPPER, _LOWER)
+    return F.translate(col, UPPER, LOWER)
 
 
 def in_fold(key: Column, modulus: int, remainder: int) -> Column:
