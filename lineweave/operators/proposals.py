@@ -139,17 +139,20 @@ def beside_anchor(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def similar_unique(source: DataFrame, baseline: DataFrame, percent: int = 90, shortest: int = 6) -> DataFrame:
-    """source_text, baseline_text, similarity: the strictly most similar text by longest common subsequence.
+    """source_id, baseline_id, score: script rows whose similar table rows, by common subsequence, are one row of one text.
 
-    Candidates come from the prefix filter of the fuzzy join, whose bound on shared characters holds for the common
-    subsequence too.
+    source(source_id, loose, roles), baseline(baseline_id, loose, roles), the open rows of the table; roles may be
+    left out. All allowed rows at `percent` or more must share their text, and the row must be alone with it.
     """
-    long = lambda rows, name: rows.select(F.col("loose").alias(name)).filter(F.length(name) >= shortest).distinct()
-    near = fuzzy.similar_candidates(long(baseline, "b"), long(source, "s"), percent)
-    scored = near.withColumn("similarity", X.lcs_ratio(F.col("baseline_text"), F.col("source_text"))).filter(F.col("similarity") * 100 >= percent)
-    top = scored.groupBy("source_text").agg(F.max("similarity").alias("similarity"))
-    best = scored.join(top, ["source_text", "similarity"])
-    return best.groupBy("source_text", "similarity").agg(F.count("*").alias("tied"), F.min("baseline_text").alias("baseline_text")).filter("tied = 1").select("source_text", "baseline_text", "similarity")
+    roles = lambda rows: F.col("roles") if "roles" in rows.columns else F.array().cast("array<string>")
+    s = source.filter(F.length("loose") >= shortest).select("source_id", F.col("loose").alias("source_text"), roles(source).alias("roles"))
+    # rows of equal text and roles are one kind, so that a frequent text is met once
+    kinds = baseline.filter("loose <> ''").groupBy(F.col("loose").alias("baseline_text"), roles(baseline).alias("b_roles")).agg(F.count("*").alias("rows"), F.min("baseline_id").alias("baseline_id"))
+    asked = s.groupBy("source_text", "roles").agg(F.count("*").alias("asking"))
+    near = fuzzy.similar_pairs(kinds.select(F.col("baseline_text").alias("text")), asked.select(F.col("source_text").alias("text")), percent, by_blocks=False)
+    met = near.join(kinds, "baseline_text").join(asked, "source_text").filter(X.speaker_compare(F.col("roles"), F.col("b_roles")) >= 0)
+    one = met.groupBy("source_text", "roles").agg(F.count_distinct("baseline_text").alias("texts"), F.sum("rows").alias("rows"), F.min("baseline_id").alias("baseline_id"), F.max("similarity").alias("score"))
+    return s.join(one.filter("texts = 1 and rows = 1"), ["source_text", "roles"]).select("source_id", "baseline_id", "score")
 
 
 def previous_lines(rows: DataFrame) -> DataFrame:

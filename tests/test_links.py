@@ -1,9 +1,14 @@
 import difflib
 import io
+import random
 import zipfile
+from functools import cache
 
+import numpy as np
 import pytest
 
+from lineweave.functions import similarity
+from lineweave.functions import text as X
 from lineweave.operators import fuzzy, keys, reports, rounds, structure
 from lineweave.sources import workbook
 
@@ -44,6 +49,57 @@ def test_fuzzy_join_is_complete(spark):
     assert got == want
 
 
+def long_lines(n, seed=11):
+    """Lines of up to 1,200 characters in three alphabets, some of them edited copies of others, down to the threshold."""
+    rng = random.Random(seed)
+    words = {k: ["".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(60)] for k, letters in enumerate(("etaoinsrh", "абвгдеж", "今天气很好吗明见再上海山水人大小中国"))}
+    out = []
+    while len(out) < n:
+        if out and rng.random() < 0.5:
+            t = list(rng.choice(out))
+            for _ in range(int(len(t) * rng.choice([0.02, 0.1, 0.19, 0.2, 0.21, 0.25]))):
+                at = rng.randrange(len(t) + 1)
+                t[at : at + rng.randint(0, 2)] = rng.choices("xyzе天 ", k=rng.randint(0, 2))
+            out.append("".join(t))
+        else:
+            out.append(" ".join(rng.choices(words[rng.randrange(3)], k=rng.choice([1, 3, 5, 10, 20, 150 if len(out) > n - 3 else 8]))))
+    return out
+
+
+@cache
+def compared_lines():
+    texts = sorted(set(long_lines(90)))
+    a, b = texts[::2], texts[1::2]
+    near = [(x, y) for x in a for y in b if 2 * len(x) <= 3 * len(y) + 3 and 2 * len(y) <= 3 * len(x) + 3]
+    return a, b, {by: {(x, y): m for x, y in near if (m := measure(x, y)) >= 0.8} for by, measure in ((True, X.sequence_ratio), (False, X.lcs_similarity))}
+
+
+@pytest.mark.parametrize("reach", [1_000, 0])
+def test_similar_long_texts_are_all_found(spark, monkeypatch, reach):
+    monkeypatch.setattr(fuzzy, "REACH", reach)
+    monkeypatch.setattr(fuzzy, "REACH_SHARE", 10**9)
+    monkeypatch.setattr(fuzzy, "BLOCK_TEXTS", 40)
+    a, b, wanted = compared_lines()
+    frame = lambda rows: spark.createDataFrame([(t,) for t in [*rows, None, "", rows[0]]], "text string")
+    for by_blocks, want in wanted.items():
+        got = {(r[0], r[1]): r[2] for r in fuzzy.similar_pairs(frame(a), frame(b), 80, by_blocks).collect()}
+        assert got.keys() == want.keys() and len(want) > 10
+        assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_matching_blocks_and_common_subsequences():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices(rng.choice(["ab", "abcd", "abcdefghij"]), k=rng.randint(0, 150)))
+    left, right = [word() for _ in range(120)], [word() for _ in range(120)]
+    for a, b in zip(left, right, strict=True):
+        assert similarity.matched(a, b) == sum(x.size for x in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+    x, y = similarity.Side(left), similarity.Side(right)
+    i, j = (k.ravel() for k in np.meshgrid(np.arange(120), np.arange(120)))
+    got = similarity.subsequences(x, y, i, j)
+    want = [round(X.lcs_similarity(left[p], right[q]) * (len(left[p]) + len(right[q])) / 2) for p, q in zip(i, j, strict=True)]
+    assert got.tolist() == want
+
+
 def test_merge_links(spark):
     parts, wholes = sides(spark, ["ab", "cd", "ef", "gh"], [("cdef", "1"), ("abcdefgh", "2"), ("xx", "3")])
     parts, wholes = (structure.with_blocks(structure.with_comparison(x)) for x in (parts, wholes))

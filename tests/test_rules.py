@@ -99,17 +99,29 @@ def test_gaps_are_aligned_one_by_one(spark):
 
 
 def test_similar_unique_equals_brute_force(spark):
+    """All allowed rows at .9 or more must be one row of one text, not only the most similar ones."""
     rng = random.Random(7)
-    base = ["".join(rng.choices("abcdefgh", k=12)) for _ in range(30)]
+    base = ["".join(rng.choices("abcdefgh", k=20)) for _ in range(30)]
+    base += [t[:6] + "z" + t[7:] for t in base[:8]] + base[8:12]
     src = [t[:5] + rng.choice("abz") + t[6:] for t in base] + [base[0], "abc", ""]
-    frame = lambda texts: spark.createDataFrame([(t,) for t in texts], "loose string")
-    got = {r["source_text"]: (r["baseline_text"], r["similarity"]) for r in proposals.similar_unique(frame(src), frame(base)).collect()}
+    role = lambda k: [["ann"], ["bob"], []][k % 3]
+    s = [(k, t, role(k)) for k, t in enumerate(src)]
+    b = [(100 + k, t, role(k // 2)) for k, t in enumerate(base)]
+    frame = lambda rows, name: spark.createDataFrame(rows, f"{name} long, loose string, roles array<string>")
+    got = {r["source_id"]: (r["baseline_id"], round(r["score"], 9)) for r in proposals.similar_unique(frame(s, "source_id"), frame(b, "baseline_id")).collect()}
     want = {}
-    for t in {t for t in src if len(t) >= 6}:
-        near = sorted(((X.lcs_similarity(b, t), b) for b in set(base)), reverse=True)
-        if near[0][0] >= 0.9 and near[0][0] > near[1][0]:
-            want[t] = (near[0][1], near[0][0])
-    assert got == want and want
+    for i, t, roles in s:
+        near = [(j, u, m) for j, u, other in b if len(t) >= 6 and (not roles or not other or set(roles) & set(other)) and (m := X.lcs_similarity(u, t)) >= 0.9]
+        if len({u for _, u, _ in near}) == 1 and len(near) == 1:
+            want[i] = (near[0][0], round(near[0][2], 9))
+    assert got == want and len(want) > 5
+
+
+def test_similar_unique_needs_one_text(spark):
+    s = spark.createDataFrame([(1, "abcdefghijklmnopqrst")], "source_id long, loose string")
+    b = spark.createDataFrame([(1, "abcdefghijklmnopqrst"), (2, "abcdefghijklmnopqrsx")], "baseline_id long, loose string")
+    assert proposals.similar_unique(s, b).count() == 0
+    assert proposals.similar_unique(s, b.limit(1)).count() == 1
 
 
 def test_trial_merge(spark):
