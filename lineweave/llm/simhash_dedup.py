@@ -29,7 +29,6 @@ SHARD_ROWS = 16_384
 #: Shards of a tree: the bound of what is broadcast. Beyond, shards are dealt into blocks, and pairs of blocks meet.
 MAX_SHARDS = 4_096
 LEAF = 128
-ROUNDS = 60
 
 
 def fingerprint(text: str | None) -> int:
@@ -215,7 +214,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label (smallest node reachable) of the nodes of edges(a, b); min-label propagation with shortcuts."""
     both = stash(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stash(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("label")), "labels")
-    for _ in range(ROUNDS):
+    while True:
         offered = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("offer"))
         stepped = labels.join(offered, F.col("node") == F.col("a")).select("node", "label", F.least("label", "offer").alias("near"))
         ahead = labels.select(F.col("node").alias("at"), F.col("label").alias("beyond"))
@@ -223,7 +222,6 @@ def components(edges: DataFrame) -> DataFrame:
         labels = moved.select("node", "label")
         if not moved.filter("label <> was").limit(1).count():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def labelled(docs: DataFrame) -> DataFrame:
