@@ -183,6 +183,7 @@ def sequence_ratio(baseline: str, source: str) -> float:
     return difflib.SequenceMatcher(None, baseline, source, autojunk=False).ratio()
 
 
+# Fixed value: a label before an option.
 _LABEL = re.compile(r"(?:^|\s)([A-Z]|\d{1,2})(?:[.．](?!\d)|[、:：;；,，])\s*")
 
 

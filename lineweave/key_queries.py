@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import fuzzy, key_rules, reports, rounds
-from .queries import SIDES, _base, _loose, _merged, _pairs, _read, _src, _TWINS, _MERGED, query
+from .queries import SIDES, _base, _loose, _merged, _pairs, _read, _src, _twins, _TWINS, _MERGED, query
 from .sources import tables
 
 _FAMILY = "case o_orderkey % 3 when 0 then 'story_text' when 1 then 'story_convenient' else '' end"
@@ -36,6 +36,7 @@ def j13(spark, d):
 @query("j14_id_blocks")
 def j14(spark, d):
     s, b = _stories(spark, d)
+    s = s.withColumn("path", F.lit("s")).withColumn("sheet", (F.col("row") % 3).cast("string"))
     one_table = b.withColumn("family", F.lit("story_text")).withColumn("sheet", F.lit("0"))
     return key_rules.id_blocks(s.withColumn("did", F.floor(F.col("did") / 10)).filter("did >= 100"), one_table)
 
@@ -83,7 +84,7 @@ h as (select path, sheet, base, vals, ns = range(ns[1], ns[1] + len(ns)) and ns[
 s as (select k as source_id, vals as parts, case when k % 4 = 0 then ['b' || (k // 2)] when k % 4 = 1 then ['b' || (k // 2), 'b' || (k // 2 + 1)] else [] end as bases, case when k % 5 < 2 then 'b' || (k // 2) else '' end as pb, 'p' as pp, cast(k % 3 as varchar) as ps from (select k, list(cast(v as varchar) order by n) as vals from o where n < 4 group by k)),
 own as (select s.*, h.path, h.sheet, h.base, vals, whole, h.base = pb and h.path = pp and h.sheet = ps as loc from (select *, unnest(bases) as ub from s) s join h on h.base = s.ub), own2 as (select * from (select *, bool_or(loc) over (partition by source_id) as al from own) where loc or not al),
 met as (select source_id, 1 as stage, parts, path, sheet, base, vals, whole from own2 union all select source_id, 2, parts, path, sheet, base, vals, whole from s join h on h.base = pb and h.path = pp and h.sheet = ps where pb <> ''
-union all select distinct source_id, 3, parts, path, sheet, base, vals, whole from (select *, unnest(parts) as part from s) s join (select *, unnest(vals) as part from h) h using (part) where not whole or vals = parts),
+union all select distinct source_id, 3, parts, path, sheet, base, vals, whole from (select *, unnest(parts) as part from s) s join (select *, unnest(vals) as part from h) h using (part) where not whole or len(vals) <> len(parts) or vals = parts),
 r as (select source_id, stage, count(distinct (path, sheet, base)) as n, min((path, sheet, base)) as g, bool_or(whole and vals = parts) as fits from met where list_has_any(parts, vals) group by 1, 2), f as (select *, row_number() over (partition by source_id order by stage) as rn from r)
 select source_id, case when n = 1 and fits then g[1] end as path, case when n = 1 and fits then g[2] end as sheet, case when n = 1 and fits then g[3] end as base, stage, case when n > 1 then 'several' when fits then 'placed' else 'not_whole' end as outcome from f where rn = 1"""
 
@@ -163,13 +164,7 @@ def w1(spark, d):
 
 @query("a3_structure_counts", f"with {SIDES}, {_TWINS}, {_MERGED}, x as (select baseline_id, korean_key from twins join src using (text) union all select baseline_id, korean_key from merged) select baseline_id, count(*) as n, count(*) filter (korean_key = '') as missing, count(distinct nullif(korean_key, '')) as variants from x group by 1")
 def a3(spark, d):
-    return reports.row_counts(tables_with_twins(spark, d), _src(spark, d), structure=_merged(spark, d))
-
-
-def tables_with_twins(spark, d) -> DataFrame:
-    from .queries import _twins
-
-    return _twins(spark, d)
+    return reports.row_counts(_twins(spark, d), _src(spark, d), structure=_merged(spark, d))
 
 
 @query("a4_full_statistics", f"""with {SIDES}, {_pairs('text')}, r as (select b.path, b.sheet, x.* from decision x join base b using (baseline_id)), a as (select path, sheet from r union all select 'baseline', 'empty ' || n_nationkey from nation),

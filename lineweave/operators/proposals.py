@@ -102,10 +102,12 @@ def only_order(source: Sequence, target: Sequence) -> list[tuple[int, int]]:
     return list(enumerate(first)) if first == last and all(p < len(target) for p in first) else []
 
 
-def _align(source: DataFrame, target: DataFrame, longest: int, how: Callable[[Sequence, Sequence], list[tuple[int, int]]]) -> DataFrame:
-    def small(rows: DataFrame, id_name: str, side: str) -> DataFrame:
-        sizes = rows.groupBy("gap").agg(F.count("*").alias("rows")).filter(F.col("rows") <= longest)
-        held = rows.join(sizes, "gap", "left_semi")
+def _align(source: DataFrame, target: DataFrame, most: tuple[int | None, int | None], how: Callable[[Sequence, Sequence], list[tuple[int, int]]]) -> DataFrame:
+    """Alignments of all gaps with at most `most` rows on the two sides (None: any number)."""
+
+    def small(rows: DataFrame, id_name: str, side: str, longest: int | None) -> DataFrame:
+        sizes = rows.groupBy("gap").agg(F.count("*").alias("rows")).filter(F.col("rows") <= longest) if longest else None
+        held = rows.join(sizes, "gap", "left_semi") if longest else rows
         roles = F.col("roles") if "roles" in rows.columns else F.array().cast("array<string>")
         return held.select(F.col("gap").alias(f"{side}_gap"), F.col("row").alias(f"{side}_row"), F.col("loose").alias(f"{side}_loose"), roles.alias(f"{side}_roles"), F.col(id_name).cast("long").alias(id_name))
 
@@ -115,18 +117,18 @@ def _align(source: DataFrame, target: DataFrame, longest: int, how: Callable[[Se
         pairs = how(values(left, "s"), values(right, "t"))
         return pd.DataFrame([(left["source_id"].iloc[i], right["baseline_id"].iloc[j]) for i, j in pairs], columns=["source_id", "baseline_id"], dtype="int64")
 
-    a, b = small(source, "source_id", "s"), small(target, "baseline_id", "t")
+    a, b = small(source, "source_id", "s", most[0]), small(target, "baseline_id", "t", most[1])
     return a.groupBy("s_gap").cogroup(b.groupBy("t_gap")).applyInPandas(place, "source_id long, baseline_id long")
 
 
-def between_anchors(source: DataFrame, target: DataFrame) -> DataFrame:
+def between_anchors(source: DataFrame, target: DataFrame, script_rows: int | None = GAP_ROWS) -> DataFrame:
     """source_id, baseline_id: rows of a gap between two confirmed rows, aligned in order with the rows between.
 
     source(gap, row, source_id, loose), target(gap, row, baseline_id, loose). By the rule a gap has at most 60 rows on
-    either side; wider gaps get no proposal, which also bounds what one task holds. With roles (arrays) on both sides
-    equal rows must share one or leave them open.
+    either side; wider gaps get no proposal. A block of ids (script_rows None) bounds its target side only. With roles
+    (arrays) on both sides equal rows must share one or leave them open.
     """
-    return _align(source, target, GAP_ROWS, lambda a, b: best_order(a, b, _same_row))
+    return _align(source, target, (script_rows, GAP_ROWS), lambda a, b: best_order(a, b, _same_row))
 
 
 def _same_row(a: tuple[str, frozenset], b: tuple[str, frozenset]) -> bool:
@@ -134,8 +136,11 @@ def _same_row(a: tuple[str, frozenset], b: tuple[str, frozenset]) -> bool:
 
 
 def beside_anchor(source: DataFrame, target: DataFrame) -> DataFrame:
-    """As between_anchors() for a gap with one anchor: at most 15 rows, and only where a single placement exists."""
-    return _align(source, target, EDGE_ROWS, lambda a, b: only_order([x for x, _ in a], [x for x, _ in b]))
+    """As between_anchors() for a gap with one anchor: at most 15 script rows, and only where a single placement exists.
+
+    target holds the free rows within 15 ids of the anchor; several rows may share an id.
+    """
+    return _align(source, target, (EDGE_ROWS, None), lambda a, b: only_order([x for x, _ in a], [x for x, _ in b]))
 
 
 def similar_unique(source: DataFrame, baseline: DataFrame, percent: int = 90, shortest: int = 6) -> DataFrame:
@@ -174,8 +179,8 @@ def key_family(column: str):
 def propagate(proposals: DataFrame, baseline: DataFrame, short: int = 6) -> DataFrame:
     """Proposals (source_id, baseline_id, korean) for unclaimed rows with the content and kind of key of a placed row.
 
-    baseline(baseline_id, path, sheet, row, key, loose, roles). A short text also needs an equal longer neighbour on
-    the same side of both rows. Placed rows that agree in content, kind, roles and long neighbours are one case, so a
+    baseline(baseline_id, path, sheet, row, key, loose, roles). Option rows get no copies. A short text also needs an
+    equal longer neighbour on the same side of both rows. Placed rows that agree in content, kind, roles and long neighbours are one case, so a
     frequent line does not pair all its placements with all its rows.
     """
     position = ["path", "sheet", "row"]
@@ -186,7 +191,7 @@ def propagate(proposals: DataFrame, baseline: DataFrame, short: int = 6) -> Data
     rows = rows.withColumn("above", F.when(is_short, F.col("above"))).withColumn("below", F.when(is_short, F.col("below")))
     placed = proposals.join(rows, "baseline_id").select("source_id", "korean", "loose", "kind", "roles", "above", "below").distinct()
     claimed = proposals.select("baseline_id").distinct()
-    open_rows = rows.join(claimed, "baseline_id", "left_anti").select("baseline_id", "loose", "kind", F.col("roles").alias("b_roles"), F.col("above").alias("b_above"), F.col("below").alias("b_below"))
+    open_rows = rows.filter(X.option_key(F.col("key"))[0] == "").join(claimed, "baseline_id", "left_anti").select("baseline_id", "loose", "kind", F.col("roles").alias("b_roles"), F.col("above").alias("b_above"), F.col("below").alias("b_below"))
     equal = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
     met = placed.join(open_rows, ["loose", "kind"]).filter((X.speaker_compare(F.col("roles"), F.col("b_roles")) >= 0) & (~is_short | equal("above", "b_above") | equal("below", "b_below")))
     return met.select("source_id", "baseline_id", "korean").distinct()

@@ -41,7 +41,7 @@ def _loose(x: str) -> str:
 
 SIDES = rf"""
 lines as (select doc_id, lang, unnest(l) as line, unnest(range(1, len(l) + 1)) as row from (select doc_id, lang, string_split(text, chr(10)) as l from documents where text is not null)),
-cut as (select doc_id, lang, line, cast(row as integer) as row, doc_id * 1000000 + row as id, {_strip("line")} as text, {_plain("line")} as plain_text, cast(doc_id as varchar) as sheet from lines),
+cut as (select doc_id, lang, line, cast(row as integer) as row, doc_id * {tables.LINES} + row as id, {_strip("line")} as text, {_plain("line")} as plain_text, cast(doc_id as varchar) as sheet from lines),
 src as (select id as source_id, 'source' as path, sheet, row, text, line as original, lang as speaker, plain_text,
         case when doc_id % 7 <> 0 then lang || '|' || (doc_id % 3) end as korean, case when doc_id % 7 <> 0 then lang || '|' || (doc_id % 3) else '' end as korean_key
         from cut where doc_id % 2 = 0 and text <> ''),

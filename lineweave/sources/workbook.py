@@ -219,7 +219,7 @@ def apply_reviews(reviews: DataFrame, filled: DataFrame, candidates: DataFrame,
     said = lambda rows: rows if "comment" in rows.columns else rows.withColumn("comment", F.lit(""))
     reviews, filled = said(reviews), said(filled)
     checked = filled.join(known, "identity", "left").groupBy("identity").agg(F.first("comment").alias("new_comment"), F.count("*").alias("times"), F.first("fingerprint").alias("fingerprint"), F.first("now").alias("now"), F.first(X.match_key(F.col("decision"))).alias("decision"))
-    bad: Column = (F.col("times") > 1) | F.col("now").isNull() | (F.col("now") != F.col("fingerprint")) | ~F.col("decision").isin("", *decisions)
+    bad: Column = (F.col("times") > 1) | F.col("now").isNull() | ~F.col("now").eqNullSafe(F.col("fingerprint")) | ~F.col("decision").isin("", *decisions)
     refused = checked.agg(F.coalesce(F.sum(bad.cast("int")), F.lit(0)).alias("bad")).first()["bad"]
     if refused:
         raise ValueError(f"the review table is refused: {refused} bad rows")

@@ -91,9 +91,11 @@ def test_similar_around_and_voices_equal_brute_force(spark, stories):
 def test_id_blocks_are_aligned_in_order(spark):
     b = [(i, 120 + i, "story_text", "p", "s", x, []) for i, x in enumerate(["a", "b", "a", "c"])] + [(9, 455, "story_text", "p", "s", "a", []), (10, 456, "story_text", "p", "t", "a", [])]
     s = [(1, 12, 1, "a", []), (2, 12, 2, "a", ["Q"]), (3, 12, 3, "c", []), (4, 45, 4, "a", []), (5, None, 5, "a", [])]
+    b += [(20 + i, 9000 + i, "story_text", "p", "s", x, []) for i, x in enumerate("vwxyz")]
+    s += [(100 + i, 900, 100 + i, "vwxyz"[i // 2] if i % 2 and i < 10 else "-", []) for i in range(61)]  # script rows have no limit
     base = spark.createDataFrame(b, "baseline_id long, number long, family string, path string, sheet string, loose string, roles array<string>")
-    source = spark.createDataFrame(s, "source_id long, did long, row long, loose string, roles array<string>")
-    assert sorted(map(tuple, key_rules.id_blocks(source, base).collect())) == [(1, 0), (2, 2), (3, 3)]  # 45 heads rows of two sheets
+    source = spark.createDataFrame(s, "source_id long, did long, row long, loose string, roles array<string>").withColumns({"path": F.lit("q"), "sheet": F.lit("s")})
+    assert sorted(map(tuple, key_rules.id_blocks(source, base).collect())) == [(1, 0), (2, 2), (3, 3)] + [(101 + 2 * i, 20 + i) for i in range(5)]  # 45 heads rows of two sheets
 
 
 def test_later_rounds_keep_earlier_candidates(spark):
@@ -160,3 +162,47 @@ def test_normalised_texts_and_paths(spark):
     df = spark.createDataFrame([(" Ａ１　",), (None,)], "v string")
     assert [r[0] for r in df.select(X.normalize(F.col("v"))).collect()] == ["A1", ""]
     assert spark.createDataFrame([("C:\\X\\É.xlsx",)], "v string").select(X.path_identity(F.col("v"))).first()[0] == "c:/x/é.xlsx"
+
+
+def brute_options(source, groups):
+    out = []
+    for sid, parts, bases, pb, pp, ps in source:
+        for stage in (1, 2, 3):
+            if stage == 1:
+                held = [g for g in groups if g[2] in bases]
+                held = [g for g in held if (g[2], g[0], g[1]) == (pb, pp, ps)] or held
+            elif stage == 2:
+                held = [g for g in groups if pb and (g[2], g[0], g[1]) == (pb, pp, ps)]
+            else:
+                held = [g for g in groups if not (g[4] and len(g[3]) == len(parts)) or g[3] == parts]
+            held = [g for g in held if set(g[3]) & set(parts)]
+            if held:
+                one = held[0] if len(held) == 1 and held[0][4] and held[0][3] == parts else None
+                out.append((sid, *(one[:3] if one else (None,) * 3), stage, "several" if len(held) > 1 else "placed" if one else "not_whole"))
+                break
+    return sorted(out, key=repr)
+
+
+def test_option_groups_of_other_lengths_are_places_too(spark):
+    rng = random.Random(4)
+    texts = lambda n: [rng.choice("ABCDEFGHIJKLMNOP") for _ in range(n)]
+    groups = [(rng.choice("pq"), rng.choice("st"), f"b{k // 2}{rng.choice('xy')}{k}", texts(rng.choice([1, 2, 2, 3])), rng.random() < 0.8) for k in range(14)]
+    groups += [("p", "s", "one", ["X", "Y"], True), ("p", "s", "long", ["Q", "X2", "Z"], True), ("p", "s", "short", ["Q", "R"], True), ("p", "s", "half", ["V", "W"], False)]
+    source = []
+    for i in range(150):
+        g = rng.choice(groups)
+        base, path, sheet = rng.choice([(g[2], g[0], g[1]), ("", "", ""), ("none", "p", "s")])
+        parts = rng.choice([g[3], texts(2), ["X", "Y"], ["Q", "R"], ["V", "W"], ["X", "M"]])
+        source.append((i, parts, rng.choice([[], [], [g[2]], [g[2], "one"]]), base, path, sheet))
+    s = spark.createDataFrame(source, "source_id long, parts array<string>, bases array<string>, previous_base string, previous_path string, previous_sheet string")
+    b = spark.createDataFrame(groups, "path string, sheet string, base string, values array<string>, whole boolean")
+    got = [(r["source_id"], r["path"], r["sheet"], r["base"], r["stage"], r["outcome"]) for r in key_rules.option_choice(s, b).collect()]
+    want = brute_options(source, groups)
+    assert sorted(got, key=repr) == want and len({(r[4], r[5]) for r in want}) >= 6
+
+
+def test_reviews_with_a_null_fingerprint_are_refused(spark):
+    form = "identity string, fingerprint string, decision string"
+    old, now = spark.createDataFrame([("a", "1", "no")], form), spark.createDataFrame([("a", "2")], "identity string, fingerprint string")
+    with pytest.raises(ValueError, match="refused"):
+        workbook.apply_reviews(old, spark.createDataFrame([("a", None, "yes")], form), now)
