@@ -90,6 +90,30 @@ def key_variants(col: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda x: x != ""))
 
 
+# Fixed value: characters that the composed form may change.
+COMPOSED = r"[\p{M}\u037e\u0387\u1100-\u11ff\u1f00-\u1fff\u2000\u2001\u2126\u212a\u212b\u2329\u232a\uf900-\ufaff\x{2f800}-\x{2fa1f}]"
+
+
+def content_text(value: str | None) -> str:
+    """Letters and digits of a text, composed, without tags, braces and paired bracket notes, lower case."""
+    text = unicodedata.normalize("NFC", value or "").replace("_x000D_", "").replace("\\n", "\n").replace("\r", "").strip()
+    text = breath_text(re.sub(CODE, "", re.sub(TAG, "", text)))
+    return "".join(c for c in text.replace("诶", "欸").lower() if c.isalnum())
+
+
+def content_key(col: Column) -> Column:
+    """content_text() of a column: loose_key() where there are no brackets and nothing to compose."""
+    special = col.rlike(f"[()（）]|{COMPOSED}")
+    return F.when(special, _scalar(content_text, "string")(F.when(special, col))).otherwise(loose_key(col))
+
+
+def content_variants(col: Column) -> Column:
+    """content_text() of the alternatives between bars, empty ones left out, each once."""
+    special = col.rlike(f"[()（）]|{COMPOSED}")
+    cut = _scalar(lambda v: list(dict.fromkeys(filter(None, map(content_text, re.split(r"\|(?!hpp\()", v or ""))))), "array<string>")
+    return F.when(special, cut(F.when(special, col))).otherwise(key_variants(col))
+
+
 def number_of(col: Column) -> Column:
     """At most 18 digits as a number, else null."""
     return F.when(col.rlike(r"^\d{1,18}$"), col.try_cast("bigint"))

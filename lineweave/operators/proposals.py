@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from operator import eq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -86,13 +86,13 @@ def best_order(source: Sequence, target: Sequence, same: Callable = eq) -> list[
     return pairs[::-1]
 
 
-def only_order(source: Sequence, target: Sequence) -> list[tuple[int, int]]:
+def only_order(source: Sequence, target: Sequence, same: Callable = eq) -> list[tuple[int, int]]:
     """Places of all source values in order, if the earliest and the latest placement are the same; else none."""
 
     def greedy(wanted: Sequence, held: Sequence) -> list[int]:
         places, at = [], 0
         for value in wanted:
-            while at < len(held) and held[at] != value:
+            while at < len(held) and not same(value, held[at]):
                 at += 1
             places.append(at)
             at += 1
@@ -102,45 +102,53 @@ def only_order(source: Sequence, target: Sequence) -> list[tuple[int, int]]:
     return list(enumerate(first)) if first == last and all(p < len(target) for p in first) else []
 
 
-def _align(source: DataFrame, target: DataFrame, most: tuple[int | None, int | None], how: Callable[[Sequence, Sequence], list[tuple[int, int]]]) -> DataFrame:
-    """Alignments of all gaps with at most `most` rows on the two sides (None: any number)."""
+May = Callable[[Column, Column], Column]
 
-    def small(rows: DataFrame, id_name: str, side: str, longest: int | None) -> DataFrame:
-        sizes = rows.groupBy("gap").agg(F.count("*").alias("rows")).filter(F.col("rows") <= longest) if longest else None
-        held = rows.join(sizes, "gap", "left_semi") if longest else rows
+
+def roles_may(roles: Column, other: Column) -> Column:
+    """Whether two arrays of names may be one speaker."""
+    return X.speaker_compare(roles, other) >= 0
+
+
+def _align(source: DataFrame, target: DataFrame, most: tuple[int | None, int | None], how: Callable[..., list[tuple[int, int]]], may: May) -> DataFrame:
+    """Alignments of all gaps with at most `most` rows on the two sides (None: any number).
+
+    Rows are numbered within their gap and equal ones meet by a join; a task orders a gap's pairs of places.
+    """
+
+    def placed(rows: DataFrame, side: str, longest: int | None) -> DataFrame:
         roles = F.col("roles") if "roles" in rows.columns else F.array().cast("array<string>")
-        return held.select(F.col("gap").alias(f"{side}_gap"), F.col("row").alias(f"{side}_row"), F.col("loose").alias(f"{side}_loose"), roles.alias(f"{side}_roles"), F.col(id_name).cast("long").alias(id_name))
+        gap = Window.partitionBy("gap")
+        id_name = "source_id" if side == "s" else "baseline_id"
+        out = rows.select("gap", "loose", roles.alias(f"{side}_roles"), F.col(id_name).cast("long").alias(id_name), (F.row_number().over(gap.orderBy("row")) - 1).alias(f"{side}_at"), F.count("*").over(gap).alias(f"{side}_rows"))
+        return out.filter(F.col(f"{side}_rows") <= longest) if longest else out
 
-    def place(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("s_row"), right.sort_values("t_row")
-        values = lambda rows, side: [(x, frozenset(r)) for x, r in zip(rows[f"{side}_loose"], rows[f"{side}_roles"], strict=True)]
-        pairs = how(values(left, "s"), values(right, "t"))
-        return pd.DataFrame([(left["source_id"].iloc[i], right["baseline_id"].iloc[j]) for i, j in pairs], columns=["source_id", "baseline_id"], dtype="int64")
+    def order(pairs: pd.DataFrame) -> pd.DataFrame:
+        met = {(i, j): (s, b) for i, j, s, b in zip(pairs["s_at"], pairs["t_at"], pairs["source_id"], pairs["baseline_id"], strict=True)}
+        found = how(range(pairs["s_rows"].iloc[0]), range(pairs["t_rows"].iloc[0]), lambda i, j: (i, j) in met)
+        return pd.DataFrame([met[p] for p in found], columns=["source_id", "baseline_id"], dtype="int64")
 
-    a, b = small(source, "source_id", "s", most[0]), small(target, "baseline_id", "t", most[1])
-    return a.groupBy("s_gap").cogroup(b.groupBy("t_gap")).applyInPandas(place, "source_id long, baseline_id long")
+    pairs = placed(source, "s", most[0]).join(placed(target, "t", most[1]), ["gap", "loose"]).filter(may(F.col("s_roles"), F.col("t_roles")))
+    pairs = pairs.select("gap", "s_at", "t_at", "s_rows", "t_rows", "source_id", "baseline_id")
+    return pairs.groupBy("gap").applyInPandas(order, "source_id long, baseline_id long")
 
 
-def between_anchors(source: DataFrame, target: DataFrame, script_rows: int | None = GAP_ROWS) -> DataFrame:
+def between_anchors(source: DataFrame, target: DataFrame, script_rows: int | None = GAP_ROWS, may: May = roles_may) -> DataFrame:
     """source_id, baseline_id: rows of a gap between two confirmed rows, aligned in order with the rows between.
 
     source(gap, row, source_id, loose), target(gap, row, baseline_id, loose). By the rule a gap has at most 60 rows on
     either side; wider gaps get no proposal. A block of ids (script_rows None) bounds its target side only. With roles
-    (arrays) on both sides equal rows must share one or leave them open.
+    on both sides equal rows must fit by `may`.
     """
-    return _align(source, target, (script_rows, GAP_ROWS), lambda a, b: best_order(a, b, _same_row))
-
-
-def _same_row(a: tuple[str, frozenset], b: tuple[str, frozenset]) -> bool:
-    return a[0] == b[0] and (not a[1] or not b[1] or not a[1].isdisjoint(b[1]))
+    return _align(source, target, (script_rows, GAP_ROWS), best_order, may)
 
 
-def beside_anchor(source: DataFrame, target: DataFrame) -> DataFrame:
+def beside_anchor(source: DataFrame, target: DataFrame, may: May = roles_may) -> DataFrame:
     """As between_anchors() for a gap with one anchor: at most 15 script rows, and only where a single placement exists.
 
     target holds the free rows within 15 ids of the anchor; several rows may share an id.
     """
-    return _align(source, target, (EDGE_ROWS, None), lambda a, b: only_order([x for x, _ in a], [x for x, _ in b]))
+    return _align(source, target, (EDGE_ROWS, None), only_order, may)
 
 
 def similar_unique(source: DataFrame, baseline: DataFrame, percent: int = 90, shortest: int = 6) -> DataFrame:
