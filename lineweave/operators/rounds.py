@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..cluster import join_spread, settle
+from ..functions import text as X
 
 SIDE = 3
 #: Forms with so many different source contexts are paired with their rows; beyond, they go by agreeing positions.
@@ -57,6 +58,51 @@ def context_with_skips(rows: DataFrame, id_name: str) -> DataFrame:
     return before.unionByName(after).select("id", "side", F.col("at").alias("row"), F.col("near").alias("text"), F.col("skip").alias("context_skip"))
 
 
+# Fixed value: the mark of lines that are a breath; their bracket notes do not count.
+BREATH_MARK = "气息"
+
+
+def walked_equal(source: Column, base: Column) -> Column:
+    """Lines of a source side that meet their equal on the baseline side, stepping over skipped lines.
+
+    source: array of struct(text, skip), base: array of struct(text, breath), both nearest first. A usable line takes
+    the next baseline line, equal or not; a skipped one takes it only if the texts agree.
+    """
+
+    def step(state: Column, line: Column) -> Column:
+        other = F.get(base, state["at"])
+        same = F.coalesce(line["text"] == F.when(line["skip"] == BREATH_MARK, other["breath"]).otherwise(other["text"]), F.lit(False))
+        usable = line["skip"] == ""
+        return F.struct((state["at"] + (usable | same).cast("int")).alias("at"), (state["equal"] + (usable & same).cast("int")).alias("equal"))
+
+    return F.aggregate(source, F.struct(F.lit(0).alias("at"), F.lit(0).alias("equal")), step, lambda state: state["equal"])
+
+
+def skipping_scores(pairs: DataFrame, lines: DataFrame, baseline: DataFrame) -> DataFrame:
+    """baseline_id, source_id, previous_equal, following_equal, full_sides of pairs(baseline_id, source_id).
+
+    lines: context_with_skips() of the source (the text of breath lines without bracket notes); baseline(baseline_id,
+    path, sheet, row, text). A baseline row reads as many lines on a side as the longest source side that it meets:
+    they are joined by their running numbers in the sheet, so that no frame holds more than is asked for.
+    """
+    nearest = lambda side: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct((F.col("row") * (1 if side == "after" else -1)).alias("far"), "text", F.col("context_skip").alias("skip"))))), lambda x: F.struct(x["text"].alias("text"), x["skip"].alias("skip")))
+    sides = lines.groupBy(F.col("id").alias("source_id")).agg(nearest("before").alias("before"), nearest("after").alias("after"))
+    met = settle(pairs.select("baseline_id", "source_id").join(sides, "source_id", "left"), "walks")
+    numbered = with_sequence(baseline.filter("text <> ''")).select("baseline_id", "path", "sheet", "seq", "text")
+    numbered = settle(numbered.withColumn("breath", X.breath_key(F.col("text"))), "lines")
+    out = met
+    for side, way in (("before", -1), ("after", 1)):
+        reach = met.groupBy("baseline_id").agg(F.max(F.size(side)).alias("n")).filter("n > 0")
+        asked = numbered.select("baseline_id", "path", "sheet", "seq").join(reach, "baseline_id").withColumn("far", F.explode(F.sequence(F.lit(1), F.col("n"))))
+        asked = asked.select("baseline_id", "path", "sheet", "far", (F.col("seq") + way * F.col("far")).alias("seq"))
+        near = asked.join(numbered.select("path", "sheet", "seq", "text", "breath"), ["path", "sheet", "seq"])
+        held = near.groupBy("baseline_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("far", "text", "breath"))), lambda x: F.struct(x["text"].alias("text"), x["breath"].alias("breath"))).alias(f"b_{side}"))
+        out = out.join(held, "baseline_id", "left")
+    equal = lambda side: F.coalesce(walked_equal(F.col(side), F.coalesce(f"b_{side}", F.array().cast("array<struct<text: string, breath: string>>"))), F.lit(0))
+    out = out.select("baseline_id", "source_id", equal("before").alias("previous_equal"), equal("after").alias("following_equal"))
+    return out.withColumn("full_sides", (F.col("previous_equal") == SIDE).cast("int") + (F.col("following_equal") == SIDE).cast("int"))
+
+
 def side_equal(a: Column, b: Column) -> Column:
     """Positions at which two sides of a context agree."""
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda e: e))

@@ -132,6 +132,27 @@ def w3(spark, d):
     return rounds.context_with_skips(_base(spark, d).withColumn("context_skip", F.when(_mod("row", 5) == 0, "演出").otherwise("")), "baseline_id")
 
 
+_WALKS = f"""with recursive {SIDES}, l as (select *, case when row % 5 = 0 then '演出' when row % 7 = 3 then '气息' else '' end as skip from src), c as (select *, sum(cast(skip = '' as int)) over (partition by sheet order by row) as u from l),
+near as (select a.source_id, case when b.row < a.row then 'before' else 'after' end as side, b.row, b.text, b.skip from c a join c b on a.sheet = b.sheet and b.row <> a.row and a.skip = '' and case when b.row < a.row then a.u - 1 - b.u < 3 else b.u - cast(b.skip = '' as int) - a.u < 3 end),
+steps as (select source_id, side, text, skip, row_number() over (partition by source_id, side order by case when side = 'before' then -row else row end) as i from near),
+b as (select *, row_number() over (partition by sheet order by row) as seq from base),
+pairs as (select baseline_id, b.sheet, seq, source_id from b join l using (text) where skip = ''),
+walk(baseline_id, source_id, sheet, seq, side, i, place, equal) as (select baseline_id, source_id, sheet, seq, side, 0::bigint, 0::bigint, 0::bigint from pairs, (values ('before'), ('after')) as x(side)
+union all select w.baseline_id, w.source_id, w.sheet, w.seq, w.side, w.i + 1, w.place + cast(s.skip = '' or coalesce(s.text = o.text, false) as int), w.equal + cast(s.skip = '' and coalesce(s.text = o.text, false) as int)
+from walk w join steps s on s.source_id = w.source_id and s.side = w.side and s.i = w.i + 1 left join b o on o.sheet = w.sheet and o.seq = w.seq + case when w.side = 'before' then -1 - w.place else 1 + w.place end),
+last as (select baseline_id, source_id, side, arg_max(equal, i) as equal from walk group by all)
+select baseline_id, source_id, cast(max(equal) filter (side = 'before') as integer) as previous_equal, cast(max(equal) filter (side = 'after') as integer) as following_equal, cast(count(*) filter (equal = 3) as integer) as full_sides from last group by 1, 2"""
+
+
+@query("w4_walk_over_skips", _WALKS)
+def w4_skips(spark, d):
+    """Scores of equal lines whose script neighbours are stage notes and breaths in part (no brackets in these lines)."""
+    mark = F.when(_mod("row", 5) == 0, "演出").when(_mod("row", 7) == 3, rounds.BREATH_MARK).otherwise("")
+    s, b = _src(spark, d).withColumn("context_skip", mark), _base(spark, d)
+    pairs = b.select("baseline_id", "text").join(s.filter("context_skip = ''").select("source_id", "text"), "text")
+    return rounds.skipping_scores(pairs, rounds.context_with_skips(s, "source_id"), b)
+
+
 # ---- segments and merges
 
 

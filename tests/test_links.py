@@ -6,6 +6,7 @@ from functools import cache
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lineweave.functions import similarity
 from lineweave.functions import text as X
@@ -180,3 +181,24 @@ def test_reviews_are_all_or_nothing(spark):
     for bad in [("b", "9", "no"), ("c", "1", "no"), ("b", "2", "maybe")]:
         with pytest.raises(ValueError, match="refused"):
             workbook.apply_reviews(old, spark.createDataFrame([bad], form), candidates)
+
+
+def walked(spark, base, script):
+    """(previous_equal, following_equal, full_sides) of the line '目标'; script: (text, skip mark)."""
+    b = spark.createDataFrame([(i, "b", "s", i, t) for i, t in enumerate(base, 1)], "baseline_id long, path string, sheet string, row int, text string")
+    s = spark.createDataFrame([(i, "a", "s", i, t, k) for i, (t, k) in enumerate(script, 1)], "source_id long, path string, sheet string, row int, text string, context_skip string")
+    s = s.withColumn("text", F.when(F.col("context_skip") == rounds.BREATH_MARK, X.breath_key(F.col("text"))).otherwise(F.col("text")))
+    pairs = b.select("baseline_id", "text").join(s.filter("context_skip = ''").select("source_id", "text"), "text").filter("text = '目标'")
+    (row,) = rounds.skipping_scores(pairs, rounds.context_with_skips(s, "source_id"), b).collect()
+    return tuple(row[2:])
+
+
+def test_contexts_step_over_skipped_lines(spark):
+    stage, breath = "演出", rounds.BREATH_MARK
+    script = [("前1", ""), ("前2", ""), ("前3", ""), ("场景说明", stage), ("嗯？（惊讶）", breath), *[("", stage)] * 9, ("目标", ""), ("（半疑惑的气）", breath), ("镜头移动", stage), ("后1", ""), ("哈(喘息)", breath), ("后2", ""), ("后3", "")]
+    # one breath also stands in the table, whatever its note says; the other skipped lines do not
+    assert walked(spark, ["前1", "前2", "前3", "嗯？（不同说明）", "目标", "后1", "哈", "后2", "后3"], script) == (3, 3, 2)
+    # a usable line that differs takes a table line, and the sheet's end is the end
+    script = [("目标", ""), ("错误邻句", ""), ("", stage), ("（动作）", breath), ("后2", ""), ("后3", ""), ("后1", "")]
+    assert walked(spark, ["前1", "前2", "前3", "目标", "后1", "后2", "后3"], script) == (0, 2, 0)
+    assert walked(spark, ["目标"], [("目标", "")]) == (0, 0, 0)
