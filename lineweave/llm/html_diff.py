@@ -3,9 +3,12 @@
 Pages of a host with equal lines are one group, and groups are put in the order of (host, URL path) of their first
 page; the partner of a group is the nearer of its two neighbours in that order on the same host: the one with more
 leading path segments in common, then fewer differing characters. The text lines of both are aligned by longest
-common subsequence, and lines on that subsequence are shared: menus, notices and other furniture repeat from page to page, the article does not. Shared lines are
-deleted, except within an element that is marked up as the article (a passage that two articles quote is still
-theirs). Markup that never holds an article is left out before.
+common subsequence, and lines on that subsequence are shared: menus, notices and other furniture repeat from page to
+page, the article does not. Lines that are no paragraph, heading, cell or quotation (bare text, the link of a list)
+are aligned by their place in the markup as well: an advert's words change, its slot recurs. Places that hold a third
+of a page's text or more are no slots. Shared lines are deleted, except within an element that is marked
+up as the article (a passage that two articles quote is still theirs). Markup that never holds an article is left out
+before.
 
 Only line hashes (64 bits) travel between pages, and each page meets one partner, whatever the size of its host;
 large groups are salted.
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,12 +36,23 @@ DROPPED = frozenset("aside button canvas datalist dialog footer form head iframe
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+# Elements that end an open paragraph, and those within which one stays open.
+ENDS_P = BLOCKS - frozenset("body br caption dd dt html legend li option tbody td tfoot th thead tr".split())
+KEEPS_P = frozenset("button caption object table td th".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 # Words in class, id or role that mark furniture.
 FURNITURE = frozenset(
     "ad ads adv advert advertisement adverts alert announcement banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar topbar widget".split()
 )
+# The same within an article, where the other words name sections of the text as well.
+ARTICLE_FURNITURE = frozenset("ad ads adv advert advertisement adverts comments disqus newsletter promo promoted share sharing signup social sponsor sponsored subscribe".split())
+# Elements whose lines are known by their text; and those within which a header is a heading.
+PROSE = frozenset("blockquote caption dd dt figcaption h1 h2 h3 h4 h5 h6 li p pre td th".split())
+SECTIONS = frozenset("article main section".split())
+#: A place with so large a share of the page's characters is no slot.
+TEXT_SHARE = 3
+_CLASS = re.compile(r"class\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # What a page may wrap its article in; other dropped elements hide all they hold.
@@ -49,18 +64,23 @@ KEPT, WRAPPED, HIDDEN = 0, 1, 2
 class Line:
     text: str
     article: bool
+    place: str = ""  # elements from the root, with classes; empty where the text tells the line
 
 
-def _furniture(name: str, attributes: str, in_article: bool) -> int:
-    """KEPT, WRAPPED (furniture that an article inside may still leave) or HIDDEN."""
+def _furniture(name: str, attributes: str, in_article: bool, in_section: bool, open_page: bool) -> int:
+    """KEPT, WRAPPED (furniture that an article inside may still leave) or HIDDEN.
+
+    open_page: the page is empty otherwise, so neither a form nor a name makes furniture.
+    """
     found = KEPT
-    if name in DROPPED or (name == "header" and not in_article):
+    if (name in DROPPED and not (open_page and name == "form")) or (name == "header" and not in_section):
         found = WRAPPED if name in WRAPPERS else HIDDEN
+    words = frozenset() if open_page else ARTICLE_FURNITURE if in_article else FURNITURE
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value.strip() == "true"):
             return HIDDEN
-        if key in ("class", "id", "role") and name not in ("html", "body", "article", "main") and not FURNITURE.isdisjoint(value.split()):
+        if key in ("class", "id", "role") and name not in ("html", "body", "article", "main") and not words.isdisjoint(value.split()):
             found = max(found, WRAPPED)
     return found
 
@@ -69,15 +89,24 @@ def page_lines(html: str | None) -> list[Line]:
     """The visible lines of a page in order, without furniture; `article` where an article or main element holds them.
 
     Articles within furniture are comments or teasers, unless the page has no other: then the furniture wraps the page.
+    A page that furniture empties is read again without what may wrap it: a form, and names of class, id or role.
     """
     lines, wrapped = _read_lines(html or "", False)
-    return _read_lines(html or "", True)[0] if wrapped and not any(x.article for x in lines) else lines
+    if wrapped and not any(x.article for x in lines):
+        lines = _read_lines(html or "", True)[0]
+    return lines or (_read_lines(html, True, open_page=True)[0] if html else [])
+
 
+def _place(stack: list[tuple], linked: bool) -> str:
+    """The place of a line in the markup, if that and not its text tells it from others."""
+    prose = any(x[0] in PROSE for x in stack) and not linked
+    return "" if prose else "/".join(x[3] for x in stack if x[0] in BLOCKS)
 
-def _read_lines(text: str, unwrap: bool) -> tuple[list[Line], bool]:
+
+def _read_lines(text: str, unwrap: bool, open_page: bool = False) -> tuple[list[Line], bool]:
     """Lines, and whether furniture wraps an article; with `unwrap` such an article is read."""
-    lines, run = [], []
-    stack: list[tuple[str, int, bool]] = []  # name, dropped, article
+    lines, run, linked = [], [], []
+    stack: list[tuple[str, int, bool, str]] = []  # name, dropped, article, name with class
     dropped, article, wrapped = KEPT, False, False
     at = 0
 
@@ -85,14 +114,17 @@ def _read_lines(text: str, unwrap: bool) -> tuple[list[Line], bool]:
         if run:
             line = " ".join(entities.unescape("".join(run)).split())
             if line:
-                lines.append(Line(line, article))
+                lines.append(Line(line, article, "" if article else _place(stack, all(linked))))
             run.clear()
+            linked.clear()
 
     while at < len(text):
         m = _TOKEN.search(text, at)
         if m is None or m.start() > at:
             if not dropped:
                 run.append(text[at : m.start() if m else len(text)])
+                if not run[-1].isspace():
+                    linked.append(any(x[0] == "a" for x in stack))
             if m is None:
                 break
         at = m.end()
@@ -111,18 +143,22 @@ def _read_lines(text: str, unwrap: bool) -> tuple[list[Line], bool]:
                 end_line()
             if name in VOID or m[3].rstrip().endswith("/"):
                 continue
-            if name == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
+            if name in ENDS_P:
+                open_p = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in ("p", *KEEPS_P)), None)
+                if open_p is not None and stack[open_p][0] == "p":
+                    del stack[open_p:]
+                    article, dropped = (stack[-1][2], stack[-1][1]) if stack else (False, KEPT)
             marks = name in ("article", "main") or "articlebody" in m[3].lower()
             inner_article = article or marks
             outer = dropped
             if marks and dropped == WRAPPED:
                 wrapped = True
                 outer = KEPT if unwrap else dropped
-            inner_dropped = max(outer, _furniture(name, m[3], article))
+            inner_dropped = max(outer, _furniture(name, m[3], article, any(x[0] in SECTIONS for x in stack), open_page))
             if name in BLOCKS and inner_dropped != dropped:
                 end_line()
-            stack.append((name, inner_dropped, inner_article))
+            named = _CLASS.search(m[3]) if "class" in m[3].lower() else None
+            stack.append((name, inner_dropped, inner_article, f"{name}.{named[1] or named[2] or named[3] or ''}" if named else name))
             if name in RAW:  # nothing inside is markup
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(text, at)
                 if not inner_dropped:
@@ -196,11 +232,40 @@ def _align(x: np.ndarray, y: np.ndarray) -> list[int]:
     return met
 
 
-def line_hashes(lines: list[Line]) -> np.ndarray:
-    hashed = np.fromiter((xxhash.xxh64_intdigest(x.text.encode("utf-8", "surrogatepass")) for x in lines), dtype=np.uint64, count=len(lines))
+def _hashes(texts: list[str]) -> np.ndarray:
+    hashed = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) if x else 0 for x in texts), dtype=np.uint64, count=len(texts))
     return hashed.view(np.int64)
 
 
+def line_hashes(lines: list[Line]) -> np.ndarray:
+    return _hashes([x.text for x in lines])
+
+
+def page_keys(lines: list[Line]) -> np.ndarray:
+    """What a page tells its partner: the number of lines, the hashes of their texts and, if there are any, of their places."""
+    if not lines:
+        return np.zeros(0, dtype=np.int64)
+    places = _hashes([x.place for x in lines])
+    return np.concatenate(([len(lines)], line_hashes(lines), places[:0] if not places.any() else places))
+
+
+def shared_lines(lines: list[Line], other: np.ndarray) -> np.ndarray:
+    """Which lines the partner with these keys shares: by text, or as a slot by place."""
+    shared = np.zeros(len(lines), dtype=bool)
+    if not lines or not len(other):
+        return shared
+    n = int(other[0])
+    shared = shared_by_lcs(line_hashes(lines), other[1 : n + 1])
+    held = Counter()
+    for x in lines:
+        held[x.place] += len(x.text)
+    slots = [k for k, x in enumerate(lines) if x.place and TEXT_SHARE * held[x.place] < held.total()]
+    if slots and len(other) > n + 1:
+        places = other[n + 1 :]
+        shared[slots] |= shared_by_lcs(_hashes([lines[k].place for k in slots]), places[places != 0])
+    return shared
+
+
 def main_text(lines: list[Line], shared: np.ndarray) -> str:
     """The lines not shared with the partner; a marked-up article protects its lines from deletion."""
     return " ".join(x.text for x, s in zip(lines, shared, strict=True) if x.article or not s)
@@ -279,7 +344,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     @F.pandas_udf("array<long>")
     def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for htmls in batches:
-            yield pd.Series([line_hashes(page_lines(h)) for h in htmls], dtype=object)
+            yield pd.Series([page_keys(page_lines(h)) for h in htmls], dtype=object)
 
     @F.pandas_udf("text string, n_lines int, n_shared int")
     def extracted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -287,8 +352,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             out = []
             for html, other in zip(htmls, others, strict=True):
                 lines = page_lines(html)
-                own = line_hashes(lines)
-                shared = shared_by_lcs(own, np.asarray(other, dtype=np.int64)) if other is not None else np.zeros(len(own), dtype=bool)
+                shared = shared_lines(lines, np.asarray(() if other is None else other, dtype=np.int64))
                 out.append((main_text(lines, shared), len(lines), int(shared.sum())))
             yield pd.DataFrame(out, columns=["text", "n_lines", "n_shared"])
 

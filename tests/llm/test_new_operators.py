@@ -173,3 +173,86 @@ def test_url_filter_without_rules_or_pages(spark):
     assert url_filter.judge(pages.limit(0), url_filter.rule_table(spark)).count() == 0
     both = url_filter.rule_table(spark, [("A.com/", "allow"), ("a.com/", "block")])
     assert tuples(url_filter.judge(pages, both)) == [(1, "a.com", "/x", "a.com/", "block")]
+
+
+# HTML extraction: what names mean within an article, pages in a form, slots
+
+
+def brute_extract(pages):
+    """Pairing, alignment and text of extract_main_text() by plain loops: {page_id: text}."""
+    from lineweave.llm import html_diff
+
+    lines = {i: html_diff.page_lines(h) for i, _, h in pages}
+    place = {i: re.match(r"\w+://([^/]*)(.*)", u).groups() for i, u, _ in pages}
+    same = lambda i, j: [(x.text, x.place) for x in lines[i]] == [(x.text, x.place) for x in lines[j]]
+    common = lambda a, b: sum(a.split("/")[: k + 1] == b.split("/")[: k + 1] for k in range(len(a.split("/"))))
+
+    def subsequence(own, other):
+        longest = [[0] * (len(other) + 1) for _ in range(len(own) + 1)]
+        for a in range(len(own) - 1, -1, -1):
+            for b in range(len(other) - 1, -1, -1):
+                longest[a][b] = longest[a + 1][b + 1] + 1 if own[a] == other[b] else max(longest[a + 1][b], longest[a][b + 1])
+        a, b, met = 0, 0, set()
+        while a < len(own) and b < len(other):
+            if own[a] == other[b]:
+                met.add(a)
+                a, b = a + 1, b + 1
+            elif longest[a + 1][b] >= longest[a][b + 1]:
+                a += 1
+            else:
+                b += 1
+        return met
+
+    out = {}
+    for i, _, _ in pages:
+        host, path = place[i]
+        others = sorted((p, j) for j, (h, p) in place.items() if h == host and lines[j] and (j == i or not same(i, j)))
+        at = others.index((path, i))
+        partner = max([others[k] for k in (at - 1, at + 1) if 0 <= k < len(others)], key=lambda o: common(path, o[0]), default=None)
+        other = lines[partner[1]] if partner else []
+        shared = subsequence([x.text for x in lines[i]], [x.text for x in other])
+        held = Counter()
+        for x in lines[i]:
+            held[x.place] += len(x.text)
+        slots = [k for k, x in enumerate(lines[i]) if x.place and 3 * held[x.place] < sum(held.values())]
+        shared |= {slots[k] for k in subsequence([lines[i][k].place for k in slots], [x.place for x in other if x.place])}
+        out[i] = " ".join(x.text for k, x in enumerate(lines[i]) if x.article or k not in shared)
+    return out
+
+
+def test_extraction_is_brute_force(spark):
+    from lineweave.llm import html_diff
+
+    page = '<div class="top"><ul><li><a href="/">{m}</a></li><li><a href="/n">News</a></li></ul></div><div class="slot">{ad}</div><h1>Title {k}</h1><p>{body}</p><div>{own}</div><p>Call us</p><div class="end">{end}</div>'
+    rng = random.Random(8)
+    word = lambda n: " ".join(rng.choice("lorem ipsum dolor sit amet elit sed do".split()) for _ in range(n))
+    pages = [(k, f"http://h{k % 3}.com/{'ab'[k % 2]}/{k:02d}", page.format(m=word(1), ad=word(3), k=k, body=word(30 + k), own=f"own {k}", end=word(2))) for k in range(24)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_diff.extract_main_text(frame).collect()}
+    assert got == brute_extract(pages)
+    assert all(t.startswith("Title") and "Call us" not in t and "own" not in t for t in got.values())
+
+
+def test_names_within_an_article_are_sections():
+    from lineweave.llm import html_diff
+
+    text = lambda page: [x.text for x in html_diff.page_lines(page)]
+    assert text('<article><section id="discussion"><p>A</p></section><div class="header"><h2>B</h2></div><p class="notice">C</p><div class="ad">D</div><div class="comments">E</div></article>') == ["A", "B", "C"]
+    assert text('<form id="aspnetForm"><div><p>All</p><input><script>x</script></div><nav>Menu</nav></form>') == ["All"]
+    assert text('<div class="header"><p>Whole page</p></div>') == ["Whole page"]
+    assert text("<header>Site</header><section><header><h1>Title</h1></header><p>Text</p></section>") == ["Title", "Text"]
+    assert text("<p>One<div>Two</div><p>Three<footer>End</footer>") == ["One", "Two", "Three"]
+    assert text("") == [] and text(None) == [] and text("<nav>Only</nav>") == []
+
+
+def test_slots_are_deleted_whatever_their_words_and_texts_are_not():
+    from lineweave.llm import html_diff
+
+    def text(page, other):
+        a, b = html_diff.page_lines(page), html_diff.page_lines(other)
+        return html_diff.main_text(a, html_diff.shared_lines(a, html_diff.page_keys(b)))
+
+    page = "<div>{}</div><p>{}</p><div>Bottom {}</div>"
+    assert text(page.format("Buy now", "A long and own text " * 9, 1), page.format("Sale today", "Another text of its own " * 9, 2)) == ("A long and own text " * 9).strip()
+    bare = "<div>{}</div>"  # the page's text itself stands in such a place
+    assert text(bare.format("A long and own text"), bare.format("Another text of its own")) == "A long and own text"
