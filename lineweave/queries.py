@@ -580,13 +580,26 @@ def j8(spark, d):
     return links.filter(F.get("ids", F.lit(0)) == F.col("whole_id")).select("whole_id", F.get("ids", F.lit(0)).alias("first_id"), F.element_at("ids", -1).alias("last_id"))
 
 
-@query("j9_split_lines", None)
-def j9(spark, d):
-    base, src = (structure.with_blocks(structure.with_comparison(x)) for x in (_base(spark, d), _src(spark, d)))
-    return structure.linked_runs(base, "baseline_id", src, "source_id", 8).select("source_id", F.size("ids").alias("parts"), F.get("ids", F.lit(0)).alias("first_id"))
+_BLOCKS = "coalesce(lag(row) over w <> row - 1 or lag(k) over w = '', true) or k = ''"
 
 
-_BLOCKS = "coalesce(lag(row) over w <> row - 1 or lag(k) over w = '', true) or k = ''"
+_SPLITS = f"""b0 as (select baseline_id, sheet, row, original, {_comparison('original')} as k from base), b1 as (select *, {_BLOCKS} as broken from b0 window w as (partition by sheet order by row)),
+b as (select *, sum(cast(broken as int)) over (partition by sheet order by row) as bl from b1),
+runs as (select list(baseline_id) over w as ids, list(k) over w as ks from b where k <> '' window w as (partition by sheet, bl order by row rows between 7 preceding and current row)),
+cut_runs as (select ids[len(ids) - n + 1 :] as ids, array_to_string(ks[len(ks) - n + 1 :], '') as k from (select ids, ks, unnest(range(2, len(ids) + 1)) as n from runs)),
+script as (select baseline_id as source_id, original as line, lead(original) over w as next, lead(row) over w = row + 1 as whole from base window w as (partition by sheet order by row)),
+variants as (select source_id, {_comparison("line")} || {_comparison("next")} as k from script where whole and source_id % 3 = 0 and not regexp_matches(line || ' ' || next, '[0-9(（]|(^|[^A-Za-z0-9_%{{])[A-Za-z][.．,，:：、;；)）]'))"""
+
+
+@query("j9_split_lines", f"with {SIDES}, {_SPLITS} select source_id, 'number' as variant, cast(len(ids) as integer) as parts, ids[1] as first_id from variants join cut_runs using (k) where length(k) <= 16000")
+def j9(spark, d):
+    """Script lines that offer two neighbouring table lines as numbered parts, met with runs of the table's lines."""
+    base = structure.with_blocks(structure.with_comparison(_base(spark, d)))
+    sheet = Window.partitionBy("path", "sheet").orderBy("row")
+    pairs = base.withColumn("next", F.lead("original").over(sheet)).withColumn("at", F.lead("row").over(sheet)).filter("at = row + 1 and baseline_id % 3 = 0")
+    plain = pairs.filter(~F.concat("original", F.lit(" "), "next").rlike(r"[0-9(（]|(^|[^A-Za-z0-9_%{])[A-Za-z][.．,，:：、;；)）]"))
+    script = plain.select(F.col("baseline_id").alias("source_id"), F.concat(F.lit("1. "), "original", F.lit("\n2. "), "next").alias("original"))
+    return structure.split_links(base, script).select("source_id", "variant", F.size("ids").alias("parts"), F.get("ids", F.lit(0)).alias("first_id"))
 
 
 @query("j11_neighbour_evidence", f"""with {SIDES}, b0 as (select baseline_id, sheet, row, {_comparison('original')} as k from base), s0 as (select source_id, sheet, row, {_comparison('original')} as k from src),

@@ -202,3 +202,14 @@ def test_contexts_step_over_skipped_lines(spark):
     script = [("目标", ""), ("错误邻句", ""), ("", stage), ("（动作）", breath), ("后2", ""), ("后3", ""), ("后1", "")]
     assert walked(spark, ["前1", "前2", "前3", "目标", "后1", "后2", "后3"], script) == (0, 2, 0)
     assert walked(spark, ["目标"], [("目标", "")]) == (0, 0, 0)
+
+
+def test_split_links_meet_patterns_with_prefix_and_parts(spark):
+    b = [(1, "b", "s", 1, "前"), (2, "b", "s", 2, "甲"), (3, "b", "s", 3, "乙"), (4, "b", "s", 4, "丙"), (5, "b", "s", 5, ""), (6, "b", "s", 6, "甲"), (7, "b", "s", 8, "乙")]
+    base = structure.with_blocks(structure.with_comparison(spark.createDataFrame(b, "baseline_id long, path string, sheet string, row int, original string")))
+    source = spark.createDataFrame([(1, "前1. 甲\n2. 乙"), (2, "甲乙丙"), (3, "甲\n乙"), (4, "1. 甲 2. 丙"), (5, None), (6, "甲")], "source_id long, original string")
+    got = {(r["source_id"], r["variant"], tuple(r["ids"])) for r in structure.split_links(base, source).collect()}
+    assert got == {(1, "number", (1, 2, 3)), (2, "whole", (2, 3, 4)), (3, "whole", (2, 3)), (3, "line_break", (2, 3))}
+    merges = spark.createDataFrame([(9, [4, 5])], "baseline_id long, ids array<long>")
+    covered = {tuple(r) for r in structure.covered_rows(merges, structure.split_links(base, source)).collect()}
+    assert covered == {(k, None) for k in (1, 2, 3, 4, 9)} | {(None, k) for k in (1, 2, 3, 4, 5)}
