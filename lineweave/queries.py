@@ -613,7 +613,7 @@ select source_id, baseline_id, cast(count(*) filter (run and d < 0) as int) as b
 def j11(spark, d):
     base, src = (structure.with_blocks(structure.with_comparison(x)) for x in (_base(spark, d), _src(spark, d)))
     links = base.filter("comparison <> ''").select("baseline_id", "comparison").join(src.select("source_id", "comparison"), "comparison").select("source_id", "baseline_id")
-    return structure.neighbour_evidence(links, src, base)
+    return structure.neighbour_evidence(links, src, base).drop("anchored_before", "anchored_after")
 
 
 def queries() -> dict[str, Query]:
