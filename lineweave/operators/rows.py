@@ -118,3 +118,39 @@ def reasons(*lists: DataFrame) -> DataFrame:
     """source_id, reasons: distinct reasons of all lists(source_id, reason), sorted and joined."""
     both = reduce(DataFrame.unionByName, lists)
     return both.groupBy("source_id").agg(F.array_join(F.sort_array(F.collect_set("reason")), "; ").alias("reasons"))
+
+
+# Headers that a script sheet may have once.
+SINGLE_HEADERS = {"note": "特殊说明", "speaker": "说话角色名"}
+SHEET, FILE, RUN = "sheet", "file", "run"
+
+
+def rollbacks(cells: DataFrame, sheets: DataFrame, structure: bool = False, excluded: DataFrame | None = None) -> DataFrame:
+    """path, sheet, row, scope, reason of what may not be read: formulas in text columns and headers that stand twice.
+
+    cells(path, sheet, row, col, value, data_type), sheets(path, sheet, side, header_row, text_column, korean_column,
+    scene_column; null where there is none). A script sheet is dropped as a whole, whatever its other rows hold;
+    excluded(path, sheet, row) are no longer looked at. A formula in a string table stops a lookup (scope 'run'); the
+    structure scan only leaves out that file. Of several formulas of a sheet the first row is named.
+    """
+    at = cells.join(sheets, ["path", "sheet"])
+    texts = F.array("text_column", "korean_column", *(["scene_column"] if structure else []))
+    formulas = at.filter((F.col("row") > F.col("header_row")) & (F.col("data_type") == "f") & F.array_contains(F.array_compact(texts), F.col("col")))
+    if excluded is not None:
+        formulas = formulas.join(excluded, ["path", "sheet", "row"], "left_anti")
+    scope = F.when(F.col("side") == "source", SHEET).otherwise(FILE if structure else RUN)
+    found = formulas.groupBy("path", "sheet", "side").agg(F.min("row").alias("row")).select("path", "sheet", "row", scope.alias("scope"), F.lit("formula").alias("reason"))
+    header = at.filter("side = 'source' and row = header_row").withColumn("header", X.normalize(F.col("value")))
+    named = reduce(Column.__or__, [F.col("header") == name for name in SINGLE_HEADERS.values()])
+    twice = header.filter(named).groupBy("path", "sheet", "row", "header").agg(F.count("*").alias("n")).filter("n > 1")
+    kind = reduce(lambda c, x: c.when(F.col("header") == x[1], f"several_{x[0]}_headers"), SINGLE_HEADERS.items(), F)
+    return found.unionByName(twice.select("path", "sheet", "row", F.lit(SHEET).alias("scope"), kind.alias("reason")))
+
+
+def keep_readable(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """rows(path, sheet, ...) without the sheets and files that verdicts of rollbacks() name; one of a run is an error."""
+    stop = verdicts.filter(F.col("scope") == RUN).orderBy("path", "sheet").select("path", "sheet", "row", "reason").first()
+    if stop:
+        raise ValueError(f"{stop['path']}, sheet {stop['sheet']}, row {stop['row']}: {stop['reason']}")
+    out = rows.join(verdicts.filter(F.col("scope") == SHEET).select("path", "sheet").distinct(), ["path", "sheet"], "left_anti")
+    return out.join(verdicts.filter(F.col("scope") == FILE).select("path").distinct(), "path", "left_anti").select(*rows.columns)

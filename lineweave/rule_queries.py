@@ -66,6 +66,29 @@ def f7(spark, d):
     return rows.without_bad_sheets(_lines(spark, d), (F.col("row") * 7 + F.col("doc_id")) % 101 == 0)[0].select("id")
 
 
+_BOOKS = """b as (select *, o_custkey % 40 as f, o_custkey % 3 as sh, row_number() over (partition by o_custkey % 40, o_custkey % 3 order by o_orderkey) + 1 as row from orders),
+bad as (select 'f' || f as path, cast(sh as varchar) as sheet, min(row) as row, f % 4 = 0 as table_side from b where o_orderkey % 97 = 5 group by all)"""
+
+
+@query("f7_rollback_by_kind", f"""with {_BOOKS} select path, sheet, row, case when table_side then 'file' else 'sheet' end as scope, 'formula' as reason from bad
+union all select 'f' || f, cast(sh as varchar), 1, 'sheet', 'several_speaker_headers' from b where f % 4 <> 0 and f % 5 = 1 group by all""")
+def f7_kinds(spark, d):
+    """Orders as cells of 40 files, every fourth a string table; some cells are formulas, some scripts name the speaker twice."""
+    from pyspark.sql.window import Window
+
+    place = [F.concat(F.lit("f"), F.col("o_custkey") % 40).alias("path"), (F.col("o_custkey") % 3).cast("string").alias("sheet")]
+    o = _read(spark, d, "orders").select("o_orderkey", "o_orderpriority", *place, (F.col("o_custkey") % 40).alias("f"))
+    o = o.withColumn("row", (F.row_number().over(Window.partitionBy("path", "sheet").orderBy("o_orderkey")) + 1).cast("long"))
+    kind = F.when(_mod("o_orderkey", 97) == 5, "f").otherwise("s")
+    body = o.select("path", "sheet", "row", F.lit(2).alias("col"), F.col("o_orderpriority").alias("value"), kind.alias("data_type"))
+    own = o.select("path", "sheet", "f").distinct()
+    names = F.when(_mod("f", 5) == 1, F.array(*[F.lit(rows.SINGLE_HEADERS["speaker"])] * 2)).otherwise(F.array(F.lit("x")))
+    head = own.select("path", "sheet", F.lit(1).cast("long").alias("row"), F.posexplode(names).alias("at", "value")).select("path", "sheet", "row", (F.col("at") + 3).alias("col"), "value", F.lit("s").alias("data_type"))
+    none = F.lit(None).cast("int")
+    sheets = own.select("path", "sheet", F.when(_mod("f", 4) == 0, "baseline").otherwise("source").alias("side"), F.lit(1).alias("header_row"), F.lit(2).alias("text_column"), none.alias("korean_column"), none.alias("scene_column"))
+    return rows.rollbacks(body.unionByName(head), sheets, structure=True)
+
+
 @query("f8_exclusion_audit", f"with {_MARKED} select id as source_id, case when reason <> '' and (text <> '' or note <> '') then reason else 'no context: 演出' end as reason from judged where (reason <> '' and (text <> '' or note <> '')) or note = '演出'")
 def f8(spark, d):
     return rows.exclusions(_judged(spark, d).withColumnRenamed("id", "source_id").withColumn("context_skip", F.when(F.col("note") == "演出", F.col("note")).otherwise("")))

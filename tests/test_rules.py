@@ -174,3 +174,19 @@ def test_fuzzy_queries_take_long_lines(spark, tmp_path):
     assert queries.j6(spark, str(tmp_path)).count() == 1
     assert [r["n"] for r in queries.d5(spark, str(tmp_path)).collect()] == [1]
     assert proposal_queries.j20(spark, str(tmp_path)).count() == 1
+
+
+def test_rollback_by_kind_of_side(spark):
+    cell = "path string, sheet string, row long, col int, value string, data_type string"
+    cells = [("s", "a", 1, 1, "台词", "s"), ("s", "a", 3, 1, "=A1", "f"), ("s", "a", 5, 2, "=A1", "f"), ("s", "b", 1, 3, "特殊说明", "s"), ("s", "b", 1, 4, " 特殊说明 ", "s"), ("s", "b", 2, 1, "甲", "s"), ("s", "c", 2, 3, "=A1", "f"), ("s", "d", 2, 1, "=A1", "f"), ("t", "x", 2, 1, "=A1", "f"), ("t", "y", 2, 1, "甲", "s")]
+    sheets = [("s", k, "source", 1, 1, 2, 3) for k in "abcd"] + [("t", k, "baseline", 1, 1, None, None) for k in "xy"]
+    c = spark.createDataFrame(cells, cell)
+    h = spark.createDataFrame(sheets, "path string, sheet string, side string, header_row int, text_column int, korean_column int, scene_column int")
+    skipped = spark.createDataFrame([("s", "d", 2)], "path string, sheet string, row long")
+    lookup = {tuple(r) for r in rows.rollbacks(c, h, excluded=skipped).collect()}
+    assert lookup == {("s", "a", 3, "sheet", "formula"), ("s", "b", 1, "sheet", "several_note_headers"), ("t", "x", 2, "run", "formula")}
+    scan = rows.rollbacks(c, h, structure=True, excluded=skipped)
+    assert {tuple(r) for r in scan.collect()} == {("s", "a", 3, "sheet", "formula"), ("s", "b", 1, "sheet", "several_note_headers"), ("s", "c", 2, "sheet", "formula"), ("t", "x", 2, "file", "formula")}
+    assert {(r["path"], r["sheet"]) for r in rows.keep_readable(h, scan).collect()} == {("s", "d")}
+    with pytest.raises(ValueError, match="t, sheet x, row 2"):
+        rows.keep_readable(h, rows.rollbacks(c, h))
