@@ -156,6 +156,18 @@ def column_number(letters: Column) -> Column:
     return F.aggregate(F.split(F.upper(letters), ""), F.lit(0), lambda acc, c: F.when(c == "", acc).otherwise(acc * 26 + F.ascii(c) - 64))
 
 
+def column_letters(number: Column) -> Column:
+    """Spreadsheet letters of a column number from 1 to 475,254 (four letters)."""
+
+    def step(state: Column, _: Column) -> Column:
+        left = state["left"] - 1
+        more = F.concat(F.char(F.lit(65) + left % 26), state["letters"])
+        return F.when(state["left"] > 0, F.struct(F.floor(left / 26).cast("long").alias("left"), more.alias("letters"))).otherwise(state)
+
+    start = F.struct(number.cast("long").alias("left"), F.lit("").alias("letters"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, step, lambda state: state["letters"])
+
+
 def evidence(lines: Column, label: str) -> Column:
     """Numbered lines of an array of struct(row, text)."""
     return F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit(label), (i + 1).cast("string"), F.lit(" [row "), x["row"].cast("string"), F.lit("] "), x["text"])), "\n")

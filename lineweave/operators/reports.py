@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .rounds import hit_counts
+from .segments import covered_sources
 
 
 def fill_action(value: Column, old: Column, is_formula: Column) -> Column:
@@ -96,11 +97,17 @@ def source_issues(source: DataFrame, matched: DataFrame) -> DataFrame:
     return rows.filter("unmatched or missing or variants > 1")
 
 
-def unrecommended_sources(source: DataFrame, decisions: DataFrame) -> DataFrame:
-    """source_id, reason of sources whose (text, translation) no recommendation uses."""
-    used = decisions.filter("source_id is not null").select("source_id").distinct().join(source, "source_id").select("text", "korean_key").distinct()
-    left = source.join(used, ["text", "korean_key"], "left_anti")
-    return left
+def unrecommended_sources(source: DataFrame, decisions: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """Rows of sources whose (text, translation) no recommendation uses.
+
+    parts(source_id, part, total, complete): what written structure items use; a source that is complete, or whose
+    parts are all used, is used as well.
+    """
+    chosen = decisions.filter("source_id is not null").select("source_id")
+    if parts is not None:
+        chosen = chosen.unionByName(covered_sources(parts))
+    used = chosen.distinct().join(source, "source_id").select("text", "korean_key").distinct()
+    return source.join(used, ["text", "korean_key"], "left_anti")
 
 
 def row_counts(baseline: DataFrame, source: DataFrame, key: str = "text", structure: DataFrame | None = None) -> DataFrame:

@@ -99,6 +99,12 @@ def merge_scope(baseline: DataFrame, whole: DataFrame, targets: DataFrame) -> Da
     return rows.groupBy("path").agg(F.count("*").alias("total"), F.count("whole").alias("whole_lines"), F.count("target").alias("targets"))
 
 
+def method_counts(baseline: DataFrame, whole: DataFrame) -> DataFrame:
+    """path, method, whole_lines: rows of each file with a whole-line pair, by the method that found it."""
+    found = whole.select("baseline_id", "method").distinct()
+    return baseline.select("baseline_id", "path").join(found, "baseline_id").groupBy("path", "method").agg(F.count("*").alias("whole_lines"))
+
+
 def unexplained_reason(comparison: Column, whole_rows: Column, longest: int = 16_000, window: int = 8) -> Column:
     """Why nothing explains a line: no text, too long, or a run longer than the window."""
     return F.when(comparison == "", "empty").when(F.length(comparison) > longest, "too_long").when(whole_rows > window, "outside_window").otherwise("no_equal_text")

@@ -345,6 +345,15 @@ def j27(spark, d):
     return reports.unrecommended_sources(src, rounds.match_round(_base(spark, d), src, "text")).select("source_id")
 
 
+@query("j27_structure_sources", f"with {SIDES}, {_pairs('text')}, own as (select source_id from decision where source_id is not null union select source_id from src where row % 13 = 0 or row % 5 = 0), used as (select distinct s.text, s.korean_key from own join src s using (source_id)) select source_id from src s where not exists (select 1 from used u where u.text = s.text and u.korean_key = s.korean_key)")
+def j27_structure(spark, d):
+    """With items that use every 13th line whole, both parts of every 5th, and one of two parts of every 7th, which stays open."""
+    src = _src(spark, d)
+    part = lambda test, part, complete: src.filter(test).select("source_id", F.lit(part).alias("part"), F.lit(2).alias("total"), F.lit(complete).alias("complete"))
+    parts = part("row % 13 = 0", 0, True).unionByName(part("row % 5 = 0", 0, False)).unionByName(part("row % 5 = 0", 1, False)).unionByName(part("row % 7 = 0", 0, False))
+    return reports.unrecommended_sources(src, rounds.match_round(_base(spark, d), src, "text"), parts).select("source_id")
+
+
 @query("d9_unrecommended_reason", f"with {SIDES}, {_pairs('text')}, used as (select distinct s.text, s.korean_key from decision x join src s using (source_id)) select source_id, case when source_id % 11 = 0 then 'partly_split' when source_id % 7 = 0 and source_id % 5 = 0 then 'structure: changed; several' when source_id % 7 = 0 then 'structure: several' when s.text in (select text from base) then 'rules_not_met' else 'not_found' end as reason from src s where not exists (select 1 from used u where u.text = s.text and u.korean_key = s.korean_key)")
 def d9(spark, d):
     src, base = _src(spark, d), _base(spark, d)
@@ -461,6 +470,11 @@ def x30(spark, d):
     return _read(spark, d, "part").select("p_partkey", X.column_number(letters).alias("number"))
 
 
+@query("x30_column_letters", """with n as (select p_partkey, p_partkey % 18000 + 1 as n from part) select p_partkey, case when n > 702 then chr(cast(65 + ((n - 703) // 676) as integer)) else '' end || case when n > 26 then chr(cast(65 + ((n - 27) // 26) % 26 as integer)) else '' end || chr(cast(65 + (n - 1) % 26 as integer)) as letters from n""")
+def x30_letters(spark, d):
+    return _read(spark, d, "part").select("p_partkey", X.column_letters(F.col("p_partkey") % 18000 + 1).alias("letters"))
+
+
 # ---- filling and comparing
 
 
