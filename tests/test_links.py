@@ -116,7 +116,9 @@ def test_blocks_and_neighbours(spark):
     s = [(1, 1, "a", None), (2, 2, "b", None), (3, 3, "c", None), (4, 4, "d", None)]
     source = structure.with_blocks(spark.createDataFrame(s, f"source_id {form}").selectExpr("*", "'q' as path", "'s' as sheet"))
     links = source.join(base.drop("path", "sheet", "row", "scene", "block"), "comparison").select("source_id", "baseline_id")
-    got = {tuple(r[:2]): tuple(r[2:]) for r in structure.neighbour_evidence(links, source, base).collect()}
+    found = structure.neighbour_evidence(links, source, base).collect()
+    got = {tuple(r[:2]): tuple(r[2:5]) for r in found}
+    assert {tuple(r[:2]): tuple(r[5:]) for r in found if r["anchored"]} == {(1, 1): (False, True), (2, 2): (False, True)}
     # c and d stand once on either side, but the scene of the string table parts them
     assert got == {(1, 1): (0, 2, True), (2, 2): (1, 1, True), (3, 3): (2, 0, False), (4, 4): (0, 0, False), (1, 5): (0, 0, False), (2, 7): (0, 0, False)}
 

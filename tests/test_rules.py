@@ -14,10 +14,10 @@ from lineweave.sources import outputs
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["f9_baseline_columns", "w3_context_with_skips", "j10_segment_targets", "d3_merge_assessment", "d4_merge_overlaps", "j23_propagated_proposals", "j30_key_audit", "snk2_paged_details", "src5_fill_entries", "lookup_cascade", "j4_tail_round", "j15_unique_text", "j17_context_choice", "j21_option_choice", "u2_distinct_variants", "a3_structure_counts", "a4_full_statistics", "l2_read_order", "src2_cells", "src4_reviews", "f1_header_hits", "f2_sheet_verdict", "f4_scan_switches", "f10_optional_columns", "snk4_fill_log", "j11_neighbour_evidence"])
+@pytest.mark.parametrize("name", ["f9_baseline_columns", "w3_context_with_skips", "j10_segment_targets", "d3_merge_assessment", "d4_merge_overlaps", "j23_propagated_proposals", "j30_key_audit", "snk2_paged_details", "src5_fill_entries", "lookup_cascade", "j4_tail_round", "j15_unique_text", "j17_context_choice", "j21_option_choice", "u2_distinct_variants", "a3_structure_counts", "a4_full_statistics", "l2_read_order", "src2_cells", "src4_reviews", "f1_header_hits", "f2_sheet_verdict", "f4_scan_switches", "f10_optional_columns", "snk4_fill_log", "j11_neighbour_evidence", "j9_split_lines", "w4_walk_over_skips", "x30_column_letters", "j27_structure_sources", "f7_rollback_by_kind"])
 def test_query_equals_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "orders", "lineitem", "conversations", "nation"):
+    for table in ("documents", "orders", "lineitem", "conversations", "nation", "part"):
         connection.execute(f"create view {table} as select * from '{SMALL}/{table}.parquet'")
     found, wanted = entry.queries()[name](spark, SMALL), connection.execute(entry.oracle_sql()[name])
     columns = [c[0] for c in wanted.description]
