@@ -34,7 +34,8 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each component stays, null ids last; of repeated rows, one.
+    """The row with the smallest doc_id of each component stays, null ids last; of repeated rows, the smallest
+    by their other columns.
 
     Rows are known by doc_id and text, so that rows which share an id, or have none, are decided each for itself.
     """
@@ -43,7 +44,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     first = first.select(F.col("first.doc_id").alias("__first"), F.col("first.text_hash").alias("__first_hash"))
     rows = docs.withColumn("__hash", F.xxhash64("text"))
     kept = rows.join(first, F.col("doc_id").eqNullSafe(F.col("__first")) & (F.col("__hash") == F.col("__first_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    # repeated rows may differ in other columns: the smallest by all of them stays, whatever task sees it first
+    others = [c for c in docs.columns if c != "doc_id"]
+    one = kept.groupBy("doc_id", "__hash").agg(F.min(F.struct(*others)).alias("__row"))
+    return one.select(*[F.col(c) if c == "doc_id" else F.col(f"__row.{c}") for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
