@@ -65,3 +65,12 @@ def test_stages_on_empty_tables_and_clashing_columns(spark):
         got = stage(spark, odd, SMALL)
         assert name == "packing" or got.columns == odd.columns
         assert got.count() > 0
+
+
+def test_copies_that_differ_in_other_columns_have_one_answer(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, text, "fr", "b", 1), (5, text, "en", "z", 2), (5, text, "en", "a", 3), (5, text, None, "c", 4), (6, text, None, None, 5), (None, "", "en", "s", 6), (None, "", "de", "s", 7), (None, "", "de", None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["simhash_dedup"]
+    for order in (docs, docs.orderBy(F.desc("n_chars")), docs.repartition(7)):
+        assert sorted((tuple(r) for r in stage(spark, order, SMALL).collect()), key=repr) == sorted([rows[3], rows[7]], key=repr)
