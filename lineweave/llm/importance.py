@@ -28,6 +28,10 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same before lower-casing: where a long text may be cut.
 _CUT = re.compile(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 MIN_WORDS, PERCENT, SEED = 20, 5, 42
+#: Characters that the library cuts at once.
+PIECE_CHARS = 3_000
+#: Windows that grow by fewer bytes are carried on by one look at a table.
+SHORT = 64
 #: Distinct words that a task remembers.
 REMEMBERED = 400_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -52,6 +56,8 @@ class WindowBuckets:
     def __init__(self) -> None:
         self.split = pre_tokenizers.Split(Regex(NOT_WORD), behavior="removed")
         self.shift = _shift_tables()
+        size, k, value = np.meshgrid(np.arange(SHORT + 1), np.arange(4), np.arange(256, dtype=np.uint32), indexing="ij")
+        self.short = self.shifted((value << (8 * k).astype(np.uint32)).ravel(), size.ravel())
         self.known: dict[str, int] = {}
 
     def _crcs(self, word: str) -> int:
@@ -68,10 +74,8 @@ class WindowBuckets:
             cut = _CUT.search(text, start + CHUNK_CHARS)
             end = cut.start() if cut else len(text)
             lowered = text[start:end].encode().translate(_LOWER)
-            found = self.split.pre_tokenize_str(lowered.decode())
-            if found:
-                words, spans = zip(*found, strict=True)
-                offsets = np.fromiter(chain.from_iterable(spans), dtype=np.int64, count=2 * len(spans))
+            words, offsets = self._cut(lowered.decode())
+            if words:
                 if len(lowered) > end - start:  # offsets are in characters
                     begins = (np.frombuffer(lowered, dtype=np.uint8) & 0xC0) != 0x80
                     offsets = np.append(np.flatnonzero(begins), len(lowered))[offsets]
@@ -82,14 +86,40 @@ class WindowBuckets:
                 known.clear()
         return np.concatenate(crcs), np.concatenate(sizes)
 
+    def _cut(self, text: str) -> tuple[list[str], np.ndarray]:
+        """Words and their offsets (start, end, start, end ...); the library is quickest on short pieces."""
+        words, offsets, start = [], [np.zeros(0, dtype=np.int64)], 0
+        while start < len(text):
+            cut = _CUT.search(text, start + PIECE_CHARS)
+            end = cut.start() if cut else len(text)
+            found = self.split.pre_tokenize_str(text[start:end])
+            if found:
+                piece, spans = zip(*found, strict=True)
+                words.extend(piece)
+                offsets.append(np.fromiter(chain.from_iterable(spans), dtype=np.int64, count=2 * len(spans)) + start)
+            start = end + 1
+        return words, np.concatenate(offsets)
+
     def joined(self, crcs: np.ndarray, spaced: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """CRCs of windows of these CRCs, each followed by a space and a word of so many bytes."""
-        out, sizes = crcs.copy(), sizes + 1
+        sizes = sizes + 1
+        at = np.minimum(sizes, SHORT) << 10
+        out = self.short.take(at | crcs & 255)
+        for k in (1, 2, 3):
+            out ^= self.short.take(at + 256 * k | crcs >> 8 * k & 255)
+        long = np.flatnonzero(sizes >= SHORT)
+        if len(long):
+            out[long] = self.shifted(crcs[long], sizes[long])
+        return out ^ spaced
+
+    def shifted(self, crcs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """CRCs carried over so many further bytes, bit by bit of their number."""
+        out = crcs.copy()
         for k in range(int(sizes.max(initial=0)).bit_length()):
             at = np.flatnonzero(sizes >> k & 1)
             x, table = out[at], self.shift[k]
             out[at] = table[0][x & 255] ^ table[1][x >> 8 & 255] ^ table[2][x >> 16 & 255] ^ table[3][x >> 24]
-        return out ^ spaced
+        return out
 
     def __call__(self, text: str | None) -> tuple[int, bytes]:
         """Number of words, and the buckets of all windows: unsigned, 16 bits each."""
