@@ -45,3 +45,12 @@ def test_business_key(spark):
     rows = spark.createDataFrame([("12", "story_text_1_Dialog_Detail_v0"), ("k", "story_text_1_a"), ("", "free text")], "k string, c string")
     assert [r[0] for r in rows.select(X.business_key(F.col("k"), F.col("c"))).collect()] == ["story_text_1_Dialog_Detail_v0", "k", ""]
     assert re.match(X.STORY_KEY, "story_text_1_Dialog_Detail_v0")
+
+
+def test_strip_takes_what_the_pattern_takes(spark):
+    ends = [chr(c) for c in (*range(0x21), 0x7F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x1FFF, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)]
+    rows = [(e + " x" + e + "y\n" + e,) for e in ends] + [("",), (" \n\u3000",), (None,)]
+    got = spark.createDataFrame(rows, "t string").select("t", X.strip(F.col("t")), F.regexp_replace("t", f"^{X.BLANK}+|{X.BLANK}+$", ""))
+    assert all(a == b for _, a, b in got.collect())
+    # a pattern over every character took seconds here
+    assert "RegExpReplace" not in spark.range(1).select(X.strip(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
