@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from lineweave import cluster
+from lineweave.operators import proposals
 
 LISTS = ["j7_whole_line_pairs", "j10_segment_targets", "j11_neighbour_evidence", "j28_pair_details", "w4_context_score"]
 
@@ -32,3 +33,18 @@ def test_lists_of_pairs_split_frequent_lines(spark, frequent, monkeypatch, name)
     # the pairs are neither counted nor shuffled by the ids of their rows after they are made
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(source_id" not in plan and "functions=[partial_count(distinct baseline_id" not in plan
+
+
+def test_propagated_rows_are_made_once(spark):
+    """Rows of one case take its proposals by one join; no distinct runs over the result, and none is lost or doubled."""
+    rows = [(i, "b", "s", 2 * i, f"item_{i}", "a long line" if i % 3 else "short", ["x"] if i % 2 else []) for i in range(60)]
+    baseline = spark.createDataFrame(rows, "baseline_id long, path string, sheet string, row int, key string, loose string, roles array<string>")
+    made = spark.createDataFrame([(i % 3, i, "t") for i in range(0, 60, 5)], "source_id long, baseline_id long, korean string")
+    found = proposals.propagate(made, baseline)
+    placed = {(s, b) for s, b, _ in map(tuple, made.collect())}
+    taken = {b for _, b in placed}
+    fits = lambda x, y: not rows[x][6] or not rows[y][6] or rows[x][6] == rows[y][6]
+    wanted = {(s, y, "t") for s, x in placed for y in range(60) if y not in taken and rows[x][5] == rows[y][5] != "short" and fits(x, y)}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted and wanted
+    assert "keys=[source_id" not in found._jdf.queryExecution().executedPlan().toString()
