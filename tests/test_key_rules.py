@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lineweave.functions import segments as S
 from lineweave.functions import text as X
-from lineweave.operators import key_rules, rounds, segments
+from lineweave.operators import key_rules, keys, rounds, segments
 from lineweave.plans import lookup
 from lineweave.sources import outputs, workbook
 
@@ -206,3 +206,15 @@ def test_reviews_with_a_null_fingerprint_are_refused(spark):
     old, now = spark.createDataFrame([("a", "1", "no")], form), spark.createDataFrame([("a", "2")], "identity string, fingerprint string")
     with pytest.raises(ValueError, match="refused"):
         workbook.apply_reviews(old, spark.createDataFrame([("a", None, "yes")], form), now)
+
+
+def test_bands_repeat_no_row_for_each_number(spark):
+    rng = random.Random(5)
+    left = [(i, rng.randint(-60, 60), rng.choice("xy")) for i in range(80)] + [(80, None, "x")]
+    right = [(i, rng.randint(-60, 60), rng.choice("xyz")) for i in range(80)] + [(80, None, "x"), (81, 5, None)]
+    a, b = spark.createDataFrame(left, "i long, n long, t string"), spark.createDataFrame(right, "j long, m long, u string")
+    met = keys.within_band(a, b, "n", "m", 9, ("t", "u"))
+    assert sorted((r["i"], r["j"]) for r in met.collect()) == sorted((i, j) for i, n, t in left for j, m, u in right if None not in (n, m) and abs(n - m) <= 9 and t == u)
+    assert "sequence(" not in met._jdf.queryExecution().optimizedPlan().toString()
+    plain = keys.within_band(a, b, "n", "m", 9)
+    assert plain.count() == sum(None not in (n, m) and abs(n - m) <= 9 for _, n, _ in left for _, m, _ in right)
