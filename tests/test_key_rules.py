@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lineweave.functions import segments as S
 from lineweave.functions import text as X
-from lineweave.operators import key_rules, keys, rounds, segments
+from lineweave.operators import key_rules, keys, proposals, rounds, segments
 from lineweave.plans import lookup
 from lineweave.sources import outputs, workbook
 
@@ -218,3 +218,19 @@ def test_bands_repeat_no_row_for_each_number(spark):
     assert "sequence(" not in met._jdf.queryExecution().optimizedPlan().toString()
     plain = keys.within_band(a, b, "n", "m", 9)
     assert plain.count() == sum(None not in (n, m) and abs(n - m) <= 9 for _, n, _ in left for _, m, _ in right)
+
+
+def test_gaps_are_aligned_across_batches(spark):
+    rng = random.Random(8)
+    s = [(gap * 100 + i, gap, i, rng.choice("abcd")) for gap in range(40) for i in range(rng.randint(1, 12))]
+    b = [(gap * 100 + i, gap, i, rng.choice("abcd")) for gap in range(40) for i in range(rng.randint(1, 12))]
+    side = lambda rows, name: spark.createDataFrame(rows, f"{name} long, gap long, row long, loose string")
+    of = lambda rows, gap: [r for r in rows if r[1] == gap]
+    wanted = [(of(s, gap)[i][0], of(b, gap)[j][0]) for gap in range(40) for i, j in proposals.best_order([r[3] for r in of(s, gap)], [r[3] for r in of(b, gap)])]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = proposals.between_anchors(side(s, "source_id"), side(b, "baseline_id"))
+        assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()  # no call for each gap
