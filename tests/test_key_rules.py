@@ -234,3 +234,10 @@ def test_gaps_are_aligned_across_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()  # no call for each gap
+
+
+def test_similar_voices_compares_texts_once(spark, stories):
+    *_, s, b = stories
+    voices = b.withColumn("key", F.concat(F.lit("char_voice_"), F.lpad("number", 6, "0"))).withColumn("speaker", F.col("family"))
+    found = key_rules.similar_voices(s.withColumn("speaker", F.lit(STORY[0])), voices)
+    assert "CoGroup" not in found._jdf.queryExecution().optimizedPlan().toString()  # pairs are read from a table, twice
