@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from lineweave import cluster
 from lineweave.operators import proposals
+from lineweave.plans import lookup
 
 LISTS = ["j7_whole_line_pairs", "j10_segment_targets", "j11_neighbour_evidence", "j28_pair_details", "w4_context_score"]
 
@@ -48,3 +49,13 @@ def test_propagated_rows_are_made_once(spark):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == wanted and wanted
     assert "keys=[source_id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_breath_pairs_need_no_distinct(spark):
+    texts = ["(x) go", "go", "go (y)", "(x)", "stay", "(z) stay"]
+    rows = lambda name: spark.createDataFrame([(i, t, t) for i, t in enumerate(texts * 2)], f"{name} long, text string, plain_text string")
+    found = lookup.breath_pairs(rows("baseline_id"), rows("source_id"))
+    keys = {r["baseline_id"]: (r["text"], r["breath"]) for r in lookup.with_keys(rows("baseline_id")).collect()}
+    wanted = [(i, j) for i, (t, n) in keys.items() for j, (u, m) in keys.items() if t == u or (n == m and n != "")]
+    assert sorted(map(tuple, found.select("baseline_id", "source_id").collect())) == sorted(wanted) and len(wanted) > 2 * len(keys)
+    assert "Aggregate [baseline_id" not in found._jdf.queryExecution().optimizedPlan().toString()
