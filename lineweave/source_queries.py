@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import reports, rounds
-from .queries import SIDES, _base, _pairs, _read, _src, query
+from .queries import SIDES, _base, _pairs, _read, _slim, _src, query
 from .sources import tables, workbook
 
 _PRINTABLE = r"[^\x20-\x{D7FF}\x{E000}-\x{FFFD}]"
@@ -143,8 +143,9 @@ def f10(spark, d):
 e as (select *, case when coalesce(value, '') = '' then 'kept' when value = old then 'equal' else 'filled' end as action from r)
 select 'sub/t.xlsx' as relative, '/in/sub/t.xlsx' as path, sheet, row, 'k' || row as key, old, case when action = 'kept' then old else value end as new, status, action, status || case when source_id is not null then '; source ' || source_id else '' end as basis, source_id as source from e""")
 def snk4(spark, d):
-    base, src = _base(spark, d), _src(spark, d)
+    base = _base(spark, d)
+    src = _slim(_src(spark, d), "source_id", "path", "sheet", "row", "text", "korean", "korean_key")
     rows = base.withColumn("old", F.when(F.col("row") % 3 == 0, "en|0").otherwise("")).withColumn("is_formula", F.lit(False))
-    filled = reports.fill_values(rows, rounds.match_round(base, src, "text"), src)
+    filled = reports.fill_values(rows, rounds.match_round(_slim(_base(spark, d), "baseline_id", "path", "sheet", "row", "text"), src, "text"), src)
     placed = base.withColumn("path", F.lit("/in/sub/t.xlsx")).withColumn("key", F.concat(F.lit("k"), "row"))
     return workbook.fill_log(filled, placed, "/in/")
