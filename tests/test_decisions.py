@@ -1,8 +1,11 @@
-"""Decisions look at contexts only where they can matter."""
+"""Decisions look at contexts only where they can matter, and the lookup moves digests, not lines."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lineweave.operators import rounds
+from lineweave.plans import lookup
 
 
 def test_only_forms_with_several_translations_meet_by_context(spark, monkeypatch):
@@ -22,3 +25,21 @@ def test_only_forms_with_several_translations_meet_by_context(spark, monkeypatch
     }
     (cases, sources) = met[0]
     assert {r["form"] for r in cases.collect()} == {"two", "same"} == {r["form"] for r in sources.collect()}
+
+
+def test_the_lookup_stores_no_lines(spark, monkeypatch):
+    longest = []
+    stored = lookup.settle
+
+    def settle(df, label):
+        out = stored(df, label)
+        longest.extend(out.agg(F.max(F.length(c))).first()[0] or 0 for c, kind in out.dtypes if kind == "string" and c not in ("path", "sheet"))
+        return out
+
+    monkeypatch.setattr(lookup, "settle", settle)
+    long = "word " * 500
+    form = "path string, sheet string, row int, text string, plain_text string"
+    b = spark.createDataFrame([(i, "b", "s", i, t, t) for i, t in enumerate((long + "a", long + "b,", long + "c"), 1)], f"baseline_id long, {form}")
+    s = spark.createDataFrame([(i, "a", "s", i, t, t, "k") for i, t in enumerate((long + "a", long + "b，", long + "c (x)"), 1)], f"source_id long, {form}, korean_key string")
+    assert {r["baseline_id"]: r["source_id"] for r in lookup.cascade(b, s).collect()} == {1: 1, 2: 2, 3: 3}
+    assert max(longest) <= 32
