@@ -1,10 +1,17 @@
 """Steps that must not cost a call, a row or a pair for each small group."""
 
+import random
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from lineweave.functions import text as X
+from lineweave.operators import proposals, segments, structure
 from lineweave.plans import key_pass
+from lineweave.source_queries import _book
+from lineweave.sources import workbook
 
 
 def test_a_call_walks_a_share_of_the_sheets(spark):
@@ -25,3 +32,28 @@ def test_a_call_walks_a_share_of_the_sheets(spark):
 def test_option_parts_of_texts_that_are_not_asked(spark, text):
     got = spark.createDataFrame([(text,)], "t string").select(X.option_parts(F.col("t")).alias("p")).first()["p"]
     assert got == X.option_list(text)
+
+
+def test_overlaps_equal_brute_force_and_pair_no_owners(spark):
+    rng = random.Random(4)
+    rows, n = [], 0
+    for baseline in range(60):
+        for _ in range(rng.choice([1, 1, 1, 2])):
+            start, n = rng.randrange(40), n + 1
+            rows.append((baseline, n, list(range(start, start + rng.randint(2, 5)))))
+    held = Counter(r[0] for r in rows)
+    nested = lambda a, b: len(a) < len(b) and a in (b[: len(a)], b[len(b) - len(a) :])
+    want = {}
+    for baseline, candidate, ids in rows:
+        met = [o for o in rows if o[0] != baseline and set(o[2]) & set(ids)]
+        shared = any(held[o[0]] > 1 or not (nested(ids, o[2]) or nested(o[2], ids)) for o in met)
+        want[candidate] = (shared, not shared and any(len(ids) < len(o[2]) for o in met))
+    # many baselines of one list: their pairs would be 9 million
+    rows += [(1_000 + k, 1_000 + k, [900, 901]) for k in range(3_000)] + [(5_000, 5_000, [950, 951]), (5_001, 5_001, [950, 951, 952])]
+    want |= {1_000 + k: (True, False) for k in range(3_000)} | {5_000: (False, True), 5_001: (False, False)}
+    frame = spark.createDataFrame(rows, "baseline_id long, candidate long, ids array<long>")
+    out = segments.overlaps(frame)
+    assert {r["candidate"]: (r["shared"], r["excerpt"]) for r in out.collect()} == want
+    assert len({v for v in want.values()}) == 3
+    joins = re.findall(r"Join .*o_candidate", out._jdf.queryExecution().optimizedPlan().toString())
+    assert not joins
