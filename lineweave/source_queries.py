@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +31,7 @@ def _book(lines: list[str]) -> bytes:
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     rows = "".join(f'<row r="{i}"><c r="A{i}" t="inlineStr"><is><t xml:space="preserve">{escape(x)}</t></is></c></row>' for i, x in enumerate(lines, 1))
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
         z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="text" sheetId="1" r:id="rId1"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
         z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{rows}</sheetData></worksheet>")
@@ -43,14 +43,15 @@ from (select doc_id, unnest(l) as line, unnest(range(1, len(l) + 1)) as row from
 def src2(spark, d):
     """Each document as a workbook, some of them broken, read back as cells."""
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            books = [_book(lines) if doc_id % 50 != 7 else b"broken" for doc_id, lines in zip(batch["doc_id"], batch["lines"], strict=True)]
-            yield pd.DataFrame({"path": batch["doc_id"].astype(str) + ".xlsx", "content": books})
+            ids = batch.column("doc_id").to_pylist()
+            books = [_book(lines.as_py()) if doc_id % 50 != 7 else b"broken" for doc_id, lines in zip(ids, batch.column("lines"), strict=True)]
+            yield pa.RecordBatch.from_pydict({"path": [f"{doc_id}.xlsx" for doc_id in ids], "content": pa.array(books, pa.binary())})
 
     lines = F.transform(F.split("text", "\n"), lambda x: F.regexp_replace(x, _PRINTABLE, ""))
     docs = _read(spark, d, "documents").filter("text is not null").select("doc_id", lines.alias("lines"))
-    books = docs.mapInPandas(pack, "path string, content binary")
+    books = docs.mapInArrow(pack, "path string, content binary")
     cells = workbook.read_cells(workbook.choose_workbooks(books))
     doc_id = F.regexp_extract("path", r"(\d+)\.xlsx$", 1).cast("long").alias("doc_id")
     return cells.filter("error is not null or value <> ''").select("sheet", doc_id, "row", "value", F.col("error").isNotNull().alias("broken"))

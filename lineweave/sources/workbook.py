@@ -12,7 +12,7 @@ import zipfile
 from collections.abc import Iterator
 from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +24,8 @@ READ, REPORTED = (".xlsx", ".xlsm"), (".xls", ".xlsb", ".ods")
 CHINESE_HEADERS = ["对白文本", "台词", "文本内容（示例）", "语音", "最新(2.18)", "中文原文"]
 KOREAN_HEADERS = ["韩文", "한국어", "韩语译文"]
 CELLS = "path string, sheet string, sheet_index int, sheet_state string, row int, col int, value string, data_type string, row_hidden boolean, error string"
-#: Cells handed on at once, whatever a workbook holds.
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+#: Cells handed on at once, whatever a workbook holds; small workbooks share a batch.
 SLICE = 50_000
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -141,15 +142,14 @@ def read_cells(workbooks: DataFrame) -> DataFrame:
     """Cells of find_workbooks(); formula cells have data_type 'f', errors are rows with `error` alone."""
     send_package(workbooks.sparkSession)
 
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in CELLS.split(", ")]
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                found = _workbook_cells(path, content)
-                while rows := list(islice(found, SLICE)):
-                    yield pd.DataFrame(rows, columns=names).astype({"sheet_index": "Int32", "row": "Int32", "col": "Int32", "row_hidden": "boolean"})
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(name, _ARROW[kind]) for name, kind in map(str.split, CELLS.split(", "))])
+        books = ((path.as_py(), content.as_py()) for batch in batches for path, content in zip(batch.column("path"), batch.column("content"), strict=True))
+        found = (cell for path, content in books for cell in _workbook_cells(path, content))
+        while rows := list(islice(found, SLICE)):
+            yield pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return workbooks.filter("supported").select("path", "content").mapInPandas(cells, CELLS)
+    return workbooks.filter("supported").select("path", "content").mapInArrow(cells, CELLS)
 
 
 def header_hits(cells: DataFrame, chinese: list[str], korean: list[str], rows: int = 10, hidden: bool = True) -> DataFrame:

@@ -57,3 +57,11 @@ def test_overlaps_equal_brute_force_and_pair_no_owners(spark):
     assert len({v for v in want.values()}) == 3
     joins = re.findall(r"Join .*o_candidate", out._jdf.queryExecution().optimizedPlan().toString())
     assert not joins
+
+
+def test_small_workbooks_share_a_batch(spark):
+    books = [(f"{k}.xlsx", True, bytearray(_book([f"line {k}", "", "a<b"]) if k % 5 else b"bad")) for k in range(50)]
+    cells = workbook.read_cells(spark.createDataFrame(books, "path string, supported boolean, content binary").coalesce(1))
+    got = {(r["path"], r["row"]): (r["value"], r["error"] is None) for r in cells.collect()}
+    assert got == {(f"{k}.xlsx", row): (v, True) for k in range(50) if k % 5 for row, v in ((1, f"line {k}"), (2, ""), (3, "a<b"))} | {(f"{k}.xlsx", None): (None, False) for k in range(0, 50, 5)}
+    assert "MapInArrow" in cells._jdf.queryExecution().executedPlan().toString()
