@@ -65,3 +65,12 @@ def test_small_workbooks_share_a_batch(spark):
     got = {(r["path"], r["row"]): (r["value"], r["error"] is None) for r in cells.collect()}
     assert got == {(f"{k}.xlsx", row): (v, True) for k in range(50) if k % 5 for row, v in ((1, f"line {k}"), (2, ""), (3, "a<b"))} | {(f"{k}.xlsx", None): (None, False) for k in range(0, 50, 5)}
     assert "MapInArrow" in cells._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_of_a_frequent_line_carry_no_text(spark):
+    rows = spark.range(400).select((F.col("id") % 3 + 1).alias("row"), F.col("id").alias("baseline_id"), F.lit("b").alias("path"), (F.col("id") / 3).cast("int").cast("string").alias("sheet"), F.lit(0).alias("block"), F.lit("x" * 50).alias("comparison"))
+    wholes = spark.createDataFrame([(1, "x" * 100), (2, "x" * 100), (3, "x" * 150), (4, "y" * 100), (5, "")], "source_id long, comparison string")
+    links = structure.linked_runs(rows, "baseline_id", wholes, "source_id")
+    got = Counter((r["source_id"], len(r["ids"])) for r in links.collect())
+    assert got == {(1, 2): 266, (2, 2): 266, (3, 3): 133}
+    assert "comparison" not in links._jdf.queryExecution().optimizedPlan().toString()
