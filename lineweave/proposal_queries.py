@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cluster import shared_dir
+from .cluster import settle, shared_dir
 from .functions import text as X
 from .operators import proposals, reports, rounds
 from .queries import SIDES, _base, _loose, _pairs, _read, _slim, _src, query
@@ -48,8 +48,9 @@ one as (select k, min(baseline_id) as baseline_id from b where length(k) >= 7 gr
 join b y on y.sheet = b.sheet and y.k = x.k and ((x.row < s.row and y.row between b.row - 5 and b.row - 1) or (x.row > s.row and y.row between b.row + 1 and b.row + 5)))
 select source_id, baseline_id, count(distinct d) filter (d < 0) as before, count(distinct d) filter (d > 0) as after from c left join p using (source_id, baseline_id) group by 1, 2""")
 def j17(spark, d):
-    s, b = _loose_sides(spark, d)
-    one = b.filter(F.length("loose") >= 7).groupBy("loose").agg(F.count("*").alias("n"), F.min("baseline_id").alias("baseline_id")).filter("n = 1")
+    long = (F.length("loose") >= 7).alias("long")
+    s, b = (settle(side.select(side.columns[0], "path", "sheet", "row", X.digest(F.col("loose")).alias("loose"), long), "side") for side in _loose_sides(spark, d))
+    one = b.filter("long").groupBy("loose").agg(F.count("*").alias("n"), F.min("baseline_id").alias("baseline_id")).filter("n = 1")
     return proposals.context_overlap(s.join(one, "loose").select("source_id", "baseline_id"), s, b)
 
 

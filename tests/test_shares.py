@@ -74,3 +74,23 @@ def test_runs_of_a_frequent_line_carry_no_text(spark):
     got = Counter((r["source_id"], len(r["ids"])) for r in links.collect())
     assert got == {(1, 2): 266, (2, 2): 266, (3, 3): 133}
     assert "comparison" not in links._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_context_overlap_equals_brute_force_without_rows_for_places(spark):
+    rng = random.Random(2)
+    make = lambda n: [(i, "p", str(i % 7), (i // 7) + (i // 7 > 9) * 2, rng.choice(["a", "b", "c", "d", ""])) for i in range(n)]
+    source, baseline = make(150), make(140)
+    pairs = [(rng.randrange(155), rng.randrange(145)) for _ in range(300)]
+    s, b = {r[0]: r for r in source}, {r[0]: r for r in baseline}
+    want = {}
+    for x, y in set(pairs):
+        near = [0, 0]
+        if x in s and y in b:
+            for d in (-3, -2, -1, 1, 2, 3):
+                texts = {r[4] for r in source if r[2] == s[x][2] and r[3] == s[x][3] + d and r[4]}
+                near[d > 0] += any(r[4] in texts for r in baseline if r[2] == b[y][2] and 1 <= (r[3] - b[y][3]) * (1 if d > 0 else -1) <= 5)
+        want[x, y] = tuple(near)
+    kinds = "path string, sheet string, row int, loose string"
+    found = proposals.context_overlap(spark.createDataFrame(pairs, "source_id long, baseline_id long"), spark.createDataFrame(source, f"source_id long, {kinds}"), spark.createDataFrame(baseline, f"baseline_id long, {kinds}"))
+    assert {(r["source_id"], r["baseline_id"]): (r["before"], r["after"]) for r in found.collect()} == want
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
