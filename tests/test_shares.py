@@ -1,14 +1,17 @@
 """Steps that must not cost a call, a row or a pair for each small group."""
 
+import hashlib
+import json
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from lineweave.functions import text as X
-from lineweave.operators import proposals, segments, structure
+from lineweave.operators import merges, proposals, segments, structure
 from lineweave.plans import key_pass
 from lineweave.source_queries import _book
 from lineweave.sources import workbook
@@ -94,3 +97,24 @@ def test_context_overlap_equals_brute_force_without_rows_for_places(spark):
     found = proposals.context_overlap(spark.createDataFrame(pairs, "source_id long, baseline_id long"), spark.createDataFrame(source, f"source_id long, {kinds}"), spark.createDataFrame(baseline, f"baseline_id long, {kinds}"))
     assert {(r["source_id"], r["baseline_id"]): (r["before"], r["after"]) for r in found.collect()} == want
     assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_frequent_run_and_line_are_shown_once_each(spark):
+    rows = "path string, sheet string, row long, original string, korean string, metadata map<string,string>"
+    script = [(10 * n + k, "a", f"s{n}", k, t, t * 2, {"role": "r"}) for n in range(20) for k, t in enumerate(["甲", "乙", "丙"], 1)]
+    table = [(10 * n + k, "b", f"t{n}", k, t, "", {"role": "r"}) for n in range(30) for k, t in enumerate(["前", "甲乙"], 1)]
+    s, b = (structure.with_blocks(structure.with_comparison(spark.createDataFrame(x, f"{name} long, {rows}"))) for x, name in ((script, "source_id"), (table, "baseline_id")))
+    shared = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    seen = set(shared.iterdir())
+    found = merges.merge_candidates(structure.linked_runs(s, "source_id", b, "baseline_id"), s, b).collect()
+    new = {p.name.rsplit("-", 1)[0].removeprefix("lineweave-"): spark.read.parquet(str(p)).count() for p in shared.iterdir() if p not in seen and p.name.startswith("lineweave-merge-")}
+    assert (len(found), new["merge-links"], new["merge-lists"], new["merge-targets"]) == (600, 600, 20, 30)
+    # the fingerprint is that of the whole JSON
+    content = lambda kind, r: {"kind": kind, "path": r[1], "sheet": r[2], "row": r[3], "original": r[4], "korean": r[5], "scene": "", "metadata": [{"key": "role", "value": "r"}]}
+    for r in found:
+        of = lambda rows, i: next(x for x in rows if x[0] == i)
+        n, m = r["ids"][0] // 10, r["baseline_id"] // 10
+        everyone = [content("source", of(script, i)) for i in r["ids"]] + [content("baseline", of(table, 10 * m + 2)), content("baseline", of(table, 10 * m + 1)), content("source", of(script, 10 * n + 3))]
+        text = json.dumps({"v0": 1, "v1": everyone, "v2": {"before": 0, "after": 0, "anchored_before": False, "anchored_after": False}}, ensure_ascii=False, separators=(",", ":"))
+        assert r["fingerprint"] == hashlib.sha256(text.encode()).hexdigest()
+        assert (r["translation"], r["error"], r["conflict"]) == ("甲甲 乙乙", "", "")
