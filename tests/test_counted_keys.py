@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from lineweave import cluster
-from lineweave.operators import rounds, segments
+from lineweave.operators import rounds, segments, structure
 from lineweave.plans import lookup
 
 
@@ -76,3 +76,16 @@ def test_walks_store_rows_not_pairs(spark, frequent, monkeypatch):
     assert found.count() > 500 > max(x.count() for x in stored)
     assert all(x.filter("previous_equal > 0").count() for x in (found,))
     assert "hashpartitioning(baseline_id, source_id" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("name", "module", "step"), [("j28_pair_details", rounds, "scored_pairs"), ("j11_neighbour_evidence", structure, "with_blocks"), ("j10_segment_targets", segments, "segment_targets")])
+def test_lines_are_not_shuffled_for_pairs(spark, frequent, monkeypatch, name, module, step):
+    """What is sorted, joined and stored by place or id holds digests of 32 characters, no lines."""
+    monkeypatch.setattr(cluster, "PAIRS", 5)
+    seen, whole = [], getattr(module, step)
+    monkeypatch.setattr(module, step, lambda *given: seen.extend(x for x in given if hasattr(x, "columns")) or whole(*given))
+    agree(spark, frequent, name)
+    for rows in seen:
+        assert "original" not in rows.columns
+        keys = [c for c in ("text", "comparison") if c in rows.columns]
+        assert keys and {len(v) for r in rows.select(*keys).collect() for v in r} <= {0, 32}
